@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from .langid import op5_rank_order_langid
 from .packing import op6_harmonic_packing
+from .pii import op7_pii_boosted
 from .token_files import op9_token_files
+from .toxicity import op10_toxicity_cnn
 
 QUERIES = {
+    "op5_rank_order_langid": op5_rank_order_langid,
     "op6_harmonic_packing": op6_harmonic_packing,
+    "op7_pii_boosted": op7_pii_boosted,
     "op9_token_files": op9_token_files,
+    "op10_toxicity_cnn": op10_toxicity_cnn,
 }
 
 ORACLE_SQL: dict[str, str] = {}
