@@ -10,6 +10,7 @@ up to a bound; texts that may hold a special token's string are encoded whole.
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
@@ -22,67 +23,92 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: A run of lower-case ASCII or of Latin-1 letters, then ASCII marks: the vocabulary's own splitter parts it in the same place.
+_PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+_JOINED = 200
+
+
 class ChunkEncoder(dict):
-    """Chunk -> number of its entry in a flat pool of ids."""
+    """Chunk -> number of its entry in a flat pool of ids.
 
-    def __init__(self, path: str | None, bound: int = 500_000):
+    New chunks of plain letters are encoded many at a time, separated by spaces,
+    without the normaliser (which leaves them as they are); a letter run with
+    marks behind it is the letters' entry followed by the marks'; all other
+    chunks take the full tokenizer one by one.
+    """
+
+    def __init__(self, path: str | None, bound: int = 800_000):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path or default_path())
+        self.plain = Tokenizer(self.tok.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for x, i in vocab.items() if x.endswith("</w>")]] = True
         self.bound = bound
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self._reset()
 
     def _reset(self) -> None:
         self.clear()
-        self.entries: list = []  # ids of an entry, or a (stem, mark) pair of entries
-        self.todo: list[bytes] = []
-        self.todo_at: list[int] = []
+        self.n = 0
+        self.words: list[tuple[int, str]] = []
+        self.others: list[tuple[int, str]] = []
+        self.pairs: list[tuple[int, int, int]] = []
         self.start = np.empty(0, np.int64)
         self.length = np.empty(0, np.int64)
         self.pool = np.empty(0, self.dtype)
 
     def __missing__(self, chunk: bytes) -> int:
-        if len(chunk) > 1 and chunk[-1:] in b".," and chunk[-2:-1].isalpha():
-            pair = (self[chunk[:-1]], self[chunk[-1:]])
-            at = self[chunk] = len(self.entries)
-            self.entries.append(pair)
-            return at
-        at = self[chunk] = len(self.entries)
-        self.entries.append(None)
-        self.todo.append(chunk)
-        self.todo_at.append(at)
+        m = _PLAIN.fullmatch(chunk)
+        if m and m[2]:
+            pair = (self[m[1]], self[m[2]])
+        at = self[chunk] = self.n
+        self.n += 1
+        if not m:
+            self.others.append((at, chunk.decode("utf-8", "replace")))
+        elif m[2]:
+            self.pairs.append((at, *pair))
+        else:
+            self.words.append((at, chunk.decode().lower()))
         return at
 
     def _settle(self) -> None:
-        known = len(self.start)
-        if known == len(self.entries):
+        """Encode what is new and append it to the pool."""
+        if self.n == len(self.start):
             return
-        if self.todo:
-            found = self.tok.encode_batch_fast([c.decode("utf-8", "replace") for c in self.todo], add_special_tokens=False)
-            for at, e in zip(self.todo_at, found, strict=True):
-                self.entries[at] = e.ids
-            self.todo, self.todo_at = [], []
-        flat: list[int] = []
-        lengths = []
-        for e in self.entries[known:]:
-            if type(e) is tuple:
-                e = self._ids(e[0], known) + self._ids(e[1], known)
-            flat += e
-            lengths.append(len(e))
-        n = np.asarray(lengths, np.int64)
-        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(n) - n])
-        self.length = np.concatenate([self.length, n])
-        self.pool = np.concatenate([self.pool, np.asarray(flat, self.dtype)])
-        self.entries[known:] = [None] * (len(self.entries) - known)
-
-    def _ids(self, at: int, known: int) -> list[int]:
-        if at < known:
-            return self.pool[self.start[at] : self.start[at] + self.length[at]].tolist()
-        e = self.entries[at]
-        return e if type(e) is list else self._ids(e[0], known) + self._ids(e[1], known)
+        known = len(self.start)
+        self.start = np.concatenate([self.start, np.zeros(self.n - known, np.int64)])
+        self.length = np.concatenate([self.length, np.zeros(self.n - known, np.int64)])
+        texts = [w for _, w in self.words]
+        groups = [" ".join(texts[i : i + _JOINED]) for i in range(0, len(texts), _JOINED)]
+        flat = np.asarray([i for e in self.plain.encode_batch_fast(groups, add_special_tokens=False) for i in e.ids], np.int64)
+        stops = np.flatnonzero(self.ends[flat]) + 1 if len(flat) else np.empty(0, np.int64)
+        if len(stops) == len(texts):
+            self._append([at for at, _ in self.words], flat, np.diff(stops, prepend=0))
+        else:  # a vocabulary without word ends
+            self.others += self.words
+        if self.others:
+            found = [e.ids for e in self.tok.encode_batch_fast([c for _, c in self.others], add_special_tokens=False)]
+            self._append([at for at, _ in self.others], np.asarray([i for x in found for i in x], np.int64), np.asarray([len(x) for x in found], np.int64))
+        if self.pairs:
+            at, a, b = np.asarray(self.pairs, np.int64).T
+            both = np.stack([a, b], 1).ravel()
+            self._append(at, self._gather(both), self.length[a] + self.length[b])
+        self.words, self.others, self.pairs = [], [], []
+
+    def _append(self, at, flat: np.ndarray, lengths: np.ndarray) -> None:
+        self.start[at] = len(self.pool) + np.cumsum(lengths) - lengths
+        self.length[at] = lengths
+        self.pool = np.concatenate([self.pool, flat.astype(self.dtype)])
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        size = self.length[at]
+        first = np.cumsum(size) - size
+        return self.pool[np.repeat(self.start[at] - first, size) + np.arange(size.sum())]
 
     def encode(self, blobs: list[bytes], end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """All ids, text after text, each followed by ``end``; and where each text starts (one more at the end)."""
@@ -97,9 +123,8 @@ class ChunkEncoder(dict):
             words += w
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         self._settle()
-        size = self.length[at]
-        cum = np.concatenate([[0], np.cumsum(size)])
-        flat = self.pool[np.repeat(self.start[at] - cum[:-1], size) + np.arange(cum[-1])]
+        cum = np.concatenate([[0], np.cumsum(self.length[at])])
+        flat = self._gather(at)
         ends = cum[np.cumsum(counts)]
         if end is not None:
             flat = np.insert(flat, ends, self.dtype.type(end))
