@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import url_filter, warc_zip
 from .langid import op5_rank_order_langid
 from .packing import op6_harmonic_packing
 from .pii import op7_pii_boosted
@@ -9,6 +10,8 @@ from .token_files import op9_token_files
 from .toxicity import op10_toxicity_cnn
 
 QUERIES = {
+    "op3_url_lm_ratio": url_filter.op3_url_lm_ratio,
+    "op4_zip_warc": warc_zip.op4_zip_warc,
     "op5_rank_order_langid": op5_rank_order_langid,
     "op6_harmonic_packing": op6_harmonic_packing,
     "op7_pii_boosted": op7_pii_boosted,
@@ -16,4 +19,7 @@ QUERIES = {
     "op10_toxicity_cnn": op10_toxicity_cnn,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_url_lm_ratio": url_filter.ORACLE_SQL,
+    "op4_zip_warc": warc_zip.ORACLE_SQL,
+}
