@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import url_filter, warc_zip
+from .ann_tree import op8_kmeans_tree
 from .langid import op5_rank_order_langid
 from .packing import op6_harmonic_packing
 from .pii import op7_pii_boosted
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_rank_order_langid": op5_rank_order_langid,
     "op6_harmonic_packing": op6_harmonic_packing,
     "op7_pii_boosted": op7_pii_boosted,
+    "op8_kmeans_tree": op8_kmeans_tree,
     "op9_token_files": op9_token_files,
     "op10_toxicity_cnn": op10_toxicity_cnn,
 }
