@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import url_filter, warc_zip
 from .ann_tree import op8_kmeans_tree
+from .decontamination import op1_pigeonhole_myers
 from .langid import op5_rank_order_langid
 from .packing import op6_harmonic_packing
 from .pii import op7_pii_boosted
@@ -11,6 +12,7 @@ from .token_files import op9_token_files
 from .toxicity import op10_toxicity_cnn
 
 QUERIES = {
+    "op1_pigeonhole_myers": op1_pigeonhole_myers,
     "op3_url_lm_ratio": url_filter.op3_url_lm_ratio,
     "op4_zip_warc": warc_zip.op4_zip_warc,
     "op5_rank_order_langid": op5_rank_order_langid,
