@@ -9,7 +9,7 @@ shorter ones down to the uniform distribution.  The score of a URL is the mean,
 over its characters, of the log ratio of both models.
 
 A share of the rule-judged URLs (``HELD_BACK``, by hash) is not counted but
-calibrates the threshold: the cut, in steps of 0.01, with the best balanced
+calibrates the threshold: the cut, between steps of 0.01, with the best balanced
 accuracy.
 
 One pass counts n-grams (combined before the shuffle); the models are built over
@@ -111,9 +111,10 @@ def calibrated(held: DataFrame) -> float:
     steps = held.groupBy(F.floor(F.col("score") * 100).cast("long").alias("step")).agg(F.sum((F.col("action") == "allow").cast("long")).alias("a"), F.sum((F.col("action") == "block").cast("long")).alias("b"))
     steps = steps.withColumn("step", F.greatest(F.least("step", F.lit(2000)), F.lit(-2000))).groupBy("step").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))  # at most 4001 rows
     all_, up = Window.partitionBy(), Window.orderBy(F.desc("step"))
-    rate = steps.select("step", (F.sum("a").over(up) / F.sum("a").over(all_) + 1 - F.sum("b").over(up) / F.sum("b").over(all_)).alias("acc"))
+    # the cut lies in the middle between the step and the next lower one that has URLs
+    rate = steps.select("step", F.coalesce((F.col("step") + F.lead("step").over(up) + 1) / 2, F.col("step").cast("double")).alias("cut"), (F.sum("a").over(up) / F.sum("a").over(all_) + 1 - F.sum("b").over(up) / F.sum("b").over(all_)).alias("acc"))
     best = rate.where("acc is not null").orderBy(F.desc(F.round("acc", 9)), F.abs("step"), "step").limit(1).collect()
-    return best[0].step / 100 if best else 0.0
+    return best[0].cut / 100 if best else 0.0
 
 
 def judge(pages: DataFrame, *, rules=RULES, order: int = ORDER) -> DataFrame:
@@ -164,8 +165,8 @@ t as (select gram, sum((not held and coalesce(action, '') = 'allow')::int) a, su
 {", ".join(levels)},
 s as (select page_id, any_value(action) action, any_value(held) held, avg(ln(pa) - ln(pb)) score from g join p{ORDER} using (gram) group by page_id),
 k as (select least(greatest(floor(score * 100), -2000), 2000) step, sum((action = 'allow')::int) a, sum((action = 'block')::int) b from (select distinct chars, j.action, s.score from j join s using (page_id) where j.held and j.action is not null) group by 1),
-w as (select step, sum(a) over (order by step desc) / (select sum(a) from k) + 1 - sum(b) over (order by step desc) / (select sum(b) from k) acc from k),
-c as (select coalesce((select step / 100 from w where acc is not null and not isnan(acc) order by round(acc, 9) desc, abs(step), step limit 1), 0.0) cut)
+w as (select step, coalesce((step + lead(step) over (order by step desc) + 1) / 2, step) mid, sum(a) over (order by step desc) / (select sum(a) from k) + 1 - sum(b) over (order by step desc) / (select sum(b) from k) acc from k),
+c as (select coalesce((select mid / 100 from w where acc is not null and not isnan(acc) order by round(acc, 9) desc, abs(step), step limit 1), 0.0) cut)
 select page_id, host, path, rule, coalesce(action, case when (select score from s where s.page_id = j.page_id) >= (select cut from c) then 'allow' else 'block' end) verdict from j
 """
 

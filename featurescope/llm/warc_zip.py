@@ -80,9 +80,9 @@ def zip_members(file: RangeReader) -> dict[str, tuple[int, int]]:
     tail_at = max(0, file.size - 22 - 0xFFFF)
     tail = file.read(tail_at, file.size - tail_at)
     at = tail.rfind(b"PK\5\6")
-    while at >= 0 and len(tail) - at >= 22 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
-        at = tail.rfind(b"PK\5\6", 0, at)
-    if at < 0 or len(tail) - at < 22:
+    while at >= 0 and (len(tail) - at < 22 or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
+        at = tail.rfind(b"PK\5\6", 0, at)  # these bytes can also stand in a comment
+    if at < 0:
         raise ValueError("no end-of-central-directory record")
     n, size, offset = struct.unpack_from("<H2L", tail, at + 10)
     if n == 0xFFFF or size == 0xFFFFFFFF or offset == 0xFFFFFFFF:
