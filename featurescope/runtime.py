@@ -58,10 +58,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared store and read it back: lineage ends here."""
-    path = shared_path(df.sparkSession, name)
+    """Write ``df`` to the shared store and read it back: lineage ends here.
+
+    Shuffle files of what is written are of no use any more; Spark deletes them when
+    the driver collects its garbage, which a long run may not do for very long, so
+    that is asked for here.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
