@@ -13,7 +13,9 @@ the order only decides how many candidates arise.
 Candidates.  In the global order a pair that links shares a shingle within both
 prefixes of ``n - ceil(0.8 n) + 1`` shingles, and at the first such place
 ``1 + min(rest, rest) >= ceil(4 (n + m) / 9)`` holds; pairs that fail this (or the
-length filter) at every shared shingle cannot link.  Documents with equal sets
+length filter) at every shared shingle cannot link.  A
+pair whose prefixes' own overlap, the first partial count, leaves too little is
+dropped before its segments move.  Documents with equal sets
 are one class first, and only its smallest ``doc_id`` takes part.  A shingle's
 documents then meet in two steps, because a group of many near copies must not be
 expanded into all its pairs: first each is compared with the one of them that has
@@ -50,11 +52,11 @@ from featurescope.runtime import materialise
 from .common import lower_words, small_batches, table, utf8, window_hashes, word_hashes
 
 WIDTH = 5
-BINS = 1 << 22
+BINS = 1 << 20
 SLICES = 64
 FRAGMENTS = 4
 CELL = 1500
-_SHIFT = np.uint64(64 - 22)
+_SHIFT = np.uint64(64 - 20)
 _SEEN_BITS = 1 << 24
 
 
@@ -72,7 +74,7 @@ class Order:
     """The global order: frequency level of each bin, and the cuts between fragments."""
 
     def __init__(self, counts: np.ndarray, fragments: int = FRAGMENTS):
-        self.level = np.minimum(255, np.floor(4 * np.log2(counts.astype(np.float64) + 1))).astype(np.uint64)
+        self.level = np.minimum(255, np.floor(4 * np.log2(counts.astype(np.float64) + 1))).astype(np.uint8)
         weight = np.bincount(self.level.astype(np.int64), counts.astype(np.float64), 256)
         total, cum, cuts = max(1.0, weight.sum()), np.cumsum(weight), []
         for i in range(1, fragments):
@@ -84,7 +86,7 @@ class Order:
 
     def sorted(self, h: np.ndarray) -> np.ndarray:
         """Shingle numbers in global order: 8 bits of level, 56 of hash."""
-        return np.sort(self.level[(h >> _SHIFT).astype(np.int64)] << np.uint64(56) | h >> np.uint64(8))
+        return np.sort(self.level[(h >> _SHIFT).astype(np.int64)].astype(np.uint64) << np.uint64(56) | h >> np.uint64(8))
 
     def segments(self, s: np.ndarray) -> list[np.ndarray]:
         return np.split(s, np.searchsorted(s, self.cuts))
@@ -151,10 +153,33 @@ def _order(scan: DataFrame) -> Order:
     return Order(counts)
 
 
-def _prefixes(docs: DataFrame, shared, width: int) -> DataFrame:
+def _hash_bits(ids: DataFrame):
+    """A table of ``_SEEN_BITS`` hash bits over the longs of the only column, sent to all: of fixed size, false positives possible."""
+    (c,) = ids.columns
+    at = F.pmod(F.xxhash64(c), F.lit(_SEEN_BITS))
+    bits = ids.select(F.floor(at / 32768).cast("long").alias("bucket"), F.pmod(at, F.lit(32768)).alias("bit"))
+    rows = bits.groupBy("bucket").agg(F.expr("bitmap_construct_agg(bit)").alias("map")).collect()  # at most 512 rows of 4 KB
+    seen = np.zeros(_SEEN_BITS // 8, np.uint8)
+    for r in rows:
+        seen[r.bucket * 4096 : (r.bucket + 1) * 4096] = np.frombuffer(bytes(r.map), np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(seen)
+
+
+def _marked(seen: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (seen[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _with_hash(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is not null").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(_SEEN_BITS)))
+
+
+def _prefixes(docs: DataFrame, shared, width: int, copies, wanted: bool) -> DataFrame:
+    """rep, n, prefix of the documents that ``copies`` marks (or of those it does not)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
         for b in batches:
+            b = b.filter(pa.array(_marked(copies.value, b.column(2).to_numpy()) == wanted))
             row, n, parts = [], [], []
             for i, t in enumerate(utf8(b.column(1))):
                 s = order.sorted(shingles(t, width))
@@ -166,24 +191,17 @@ def _prefixes(docs: DataFrame, shared, width: int) -> DataFrame:
             flat = np.concatenate(parts) if parts else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int32())), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], names=["rep", "n", "prefix"])
 
-    return docs.mapInArrow(run, "rep long, n long, prefix array<long>")
+    return _with_hash(docs).mapInArrow(run, "rep long, n long, prefix array<long>")
 
 
 def _segments(docs: DataFrame, wanted: DataFrame, shared, width: int) -> DataFrame:
-    """rep, frag, seg of the wanted documents; a table of hash bits (fixed size) spares the others' shingles."""
-    spark = docs.sparkSession
-    at = F.pmod(F.xxhash64("rep"), F.lit(_SEEN_BITS))
-    bits = wanted.select(F.floor(at / 32768).cast("long").alias("bucket"), F.pmod(at, F.lit(32768)).alias("bit"))
-    rows = bits.groupBy("bucket").agg(F.expr("bitmap_construct_agg(bit)").alias("map")).collect()  # at most 512 rows of 4 KB
-    seen = np.zeros(_SEEN_BITS, bool)
-    for r in rows:
-        seen[r.bucket * 32768 : (r.bucket + 1) * 32768] = np.unpackbits(np.frombuffer(bytes(r.map), np.uint8), bitorder="little")
-    packed = spark.sparkContext.broadcast(np.packbits(seen))
+    """rep, frag, seg of the wanted documents and a few others that share their hash bits."""
+    packed = _hash_bits(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, bits = shared.value, np.unpackbits(packed.value).astype(bool)
+        order = shared.value
         for b in batches:
-            b = b.filter(pa.array(bits[b.column(2).to_numpy()]))
+            b = b.filter(pa.array(_marked(packed.value, b.column(2).to_numpy())))
             row, frag, seg = [], [], []
             for i, t in enumerate(utf8(b.column(1))):
                 for f, x in enumerate(order.segments(order.sorted(shingles(t, width)))):
@@ -193,35 +211,28 @@ def _segments(docs: DataFrame, wanted: DataFrame, shared, width: int) -> DataFra
                         seg.append(x.tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int32())), pa.array(frag, pa.int32()), pa.array(seg, pa.binary())], names=["rep", "frag", "seg"])
 
-    got = docs.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(_SEEN_BITS))).where("doc_id is not null").mapInArrow(run, "rep long, frag int, seg binary")
-    return got.join(wanted, "rep", "left_semi")
+    return _with_hash(docs).mapInArrow(run, "rep long, frag int, seg binary")
 
 
 # ---------------------------------------------------------------- partial overlaps
 
 
-def _overlaps(firsts: pa.Table, partners: pa.Table) -> pa.Table:
-    """a, b, overlap for one cell of one fragment."""
-    a_of = {a: i for i, a in enumerate(firsts.column("a").to_pylist())}
-    segs = firsts.column("seg").to_pylist()
-    a, b, other = (partners.column(c).to_pylist() for c in ("a", "b", "seg"))
+def _overlaps(cell: pa.Table) -> pa.Table:
+    """a, b, overlap for one cell of one fragment: segments of first documents (role 0) and of their partners (role 1)."""
+    rep, role, a, seg = (cell.column(c).to_pylist() for c in ("rep", "role", "a", "seg"))
+    own_of = {r: np.frombuffer(x, np.uint64) for r, o, x in zip(rep, role, seg, strict=True) if o == 0}
+    many: dict[int, dict[int, np.ndarray]] = {}
+    for r, o, first, x in zip(rep, role, a, seg, strict=True):
+        if o == 1 and first in own_of:
+            many.setdefault(first, {})[r] = np.frombuffer(x, np.uint64)  # repeated rows count once
     out_a, out_b, out_n = [], [], []
-    order = sorted((i for i in range(len(a)) if a[i] in a_of), key=lambda i: a[i])
-    at = 0
-    while at < len(order):
-        first = a[order[at]]
-        end = at
-        while end < len(order) and a[order[end]] == first:
-            end += 1
-        own = np.frombuffer(segs[a_of[first]], np.uint64)
-        many = [np.frombuffer(other[i], np.uint64) for i in order[at:end]]
-        flat = np.concatenate(many)
+    for first, partners in many.items():
+        own, flat = own_of[first], np.concatenate(list(partners.values()))
         hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
-        start = np.concatenate([[0], np.cumsum([len(x) for x in many])[:-1]])
-        out_a += [first] * len(many)
-        out_b += [b[i] for i in order[at:end]]
-        out_n += np.add.reduceat(hit.astype(np.int64), start).tolist()
-        at = end
+        size = [len(x) for x in partners.values()]
+        out_a += [first] * len(size)
+        out_b += partners
+        out_n += np.add.reduceat(hit.astype(np.int64), np.cumsum([0, *size[:-1]])).tolist()
     return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64()), "overlap": pa.array(out_n, pa.int64())})
 
 
@@ -231,21 +242,38 @@ def _verified(pairs: DataFrame, docs: DataFrame, shared, width: int, name: str)
     total = pairs.count()
     if not total:
         return pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-    segs = materialise(_segments(docs, wanted, shared, width).dropDuplicates(["rep", "frag"]), f"{name}-segments")
+    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep")))
     cells = max(1, -(-total // CELL))
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("parts"))
     dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
-    cell = F.pmod(F.xxhash64("a", "part"), F.lit(cells)).alias("cell")
-    firsts = parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("a", cell).distinct()
-    left = firsts.join(segs.withColumnRenamed("rep", "a"), "a").select(*(F.col(c).alias(c) for c in ("frag", "cell", "a", "seg")))
-    right = dealt.select("a", "b", cell).join(segs.withColumnRenamed("rep", "b"), "b").select(*(F.col(c).alias(c) for c in ("frag", "cell", "a", "b", "seg")))
-    partial = left.groupBy("frag", "cell").cogroup(right.groupBy("frag", "cell")).applyInArrow(_overlaps, "a long, b long, overlap long")
+    dealt = dealt.select("a", "b", F.pmod(F.xxhash64("a", "part"), F.lit(cells)).alias("cell"))
+    need = dealt.select(F.col("a").alias("rep"), F.lit(0).alias("role"), "a", "cell").distinct().unionByName(dealt.select(F.col("b").alias("rep"), F.lit(1).alias("role"), "a", "cell"))
+    need = materialise(need, f"{name}-need")
+    # each segment moves to its document's needs, then to the cells
+    met = _segments(docs, wanted, shared, width).join(need.hint("merge"), "rep").select("frag", "cell", "rep", "role", "a", "seg")
+    partial = met.groupBy("frag", "cell").applyInArrow(_overlaps, "a long, b long, overlap long")
     summed = partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
     links = pairs.join(summed, ["a", "b"]).where("9 * overlap >= 4 * (na + nb)")
     return materialise(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), f"{name}-links")
 
 
+def _first_overlaps(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """The pairs that their prefixes' overlap still allows to link.
+
+    A common shingle that is not in both prefixes comes after the prefix that ends first, so the overlap is at most
+    that of the prefixes plus what its document has beyond.
+    """
+    side = lambda x: prefixes.select(F.col("rep").alias(x), F.col("tokens").alias(f"t{x}"), F.col("last").alias(f"l{x}"))
+    beyond = F.when(F.col("la") <= F.col("lb"), _rest("na")).otherwise(_rest("nb"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.where(F.size(F.array_intersect("ta", "tb")) + beyond >= least_overlap(F.col("na"), F.col("nb"))).select("a", "na", "b", "nb")
+
+
+def _rest(n: str):
+    """Column: shingles beyond a prefix (``n - prefix_length(n)``)."""
+    return F.ceil(4 * F.col(n) / 5) - 1
+
+
 def _may_link(n, at, m, bt):
     """Length and position filter at a shared shingle."""
     return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (F.least(n - at, m - bt) >= least_overlap(n, m))
@@ -262,25 +290,29 @@ def components(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
     classes = materialise(own.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
 
     # the documents of each shingle, with the one that has the fewest rarer shingles
-    prefixes = _prefixes(docs, shared, width).join(classes.select("rep"), "rep", "left_semi")
-    tokens = prefixes.select("rep", "n", F.posexplode("prefix").alias("pos", "token")).select("token", F.col("pos").cast("long").alias("pos"), "n", "rep")
+    # only documents that may be copies of a smaller one (or share the hash bit of one) have to be looked up among the classes
+    copies = _hash_bits(own.where("digest is not null and doc_id is not null").join(classes.withColumnRenamed("rep", "least"), "digest").where("doc_id <> least").select("doc_id"))
+    doubtful = _prefixes(docs, shared, width, copies, True).join(classes.select("rep").hint("merge"), "rep", "left_semi")
+    prefixes = _prefixes(docs, shared, width, copies, False).unionByName(doubtful)
+    tokens = prefixes.select("rep", "n", F.element_at("prefix", -1).alias("last"), F.posexplode("prefix").alias("pos", "token")).select("token", F.col("pos").cast("long").alias("pos"), "n", "rep", "last")
     tokens = tokens.where(F.col("n") - F.col("pos") >= F.ceil(0.8 * F.col("n") - 1e-9))
     by = Window.partitionBy("token")
     tokens = tokens.withColumn("many", F.count(F.lit(1)).over(by)).withColumn("first", F.min(F.struct("pos", "n", "rep")).over(by)).where("many > 1").drop("many")
     tokens = materialise(tokens, "jaccard-tokens")
     near = tokens.where("rep <> first.rep").where(_may_link(F.col("n"), F.col("pos"), F.col("first.n"), F.col("first.pos")))
     stars = near.select(F.col("first.rep").alias("a"), F.col("first.n").alias("na"), F.col("rep").alias("b"), F.col("n").alias("nb")).distinct()
-    links = [_verified(stars, docs, shared, width, "jaccard-stars")]
+    stars = materialise(stars, "jaccard-stars")
+    shared_tokens = materialise(tokens.groupBy("rep").agg(F.collect_list("token").alias("tokens"), F.first("last").alias("last")), "jaccard-prefixes")  # at most a prefix each
+    links = [_verified(_first_overlaps(stars, shared_tokens), docs, shared, width, "jaccard-stars")]
     groups = connected_components(links[0])
 
     # documents of one shingle that are in different groups
-    labelled = tokens.drop("first").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    span = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    mixed = materialise(labelled.join(span, "token", "left_semi"), "jaccard-mixed")
+    labelled = tokens.drop("first", "last").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = labelled.withColumn("lo", F.min("component").over(by)).withColumn("hi", F.max("component").over(by)).where("lo < hi").drop("lo", "hi")
     x, y = mixed.alias("x"), mixed.alias("y")
     cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & _may_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
     cross = cross.select(F.col("x.rep").alias("a"), F.col("x.n").alias("na"), F.col("y.rep").alias("b"), F.col("y.n").alias("nb")).distinct().join(stars.select("a", "b").union(stars.select("b", "a")), ["a", "b"], "left_anti")
-    links.append(_verified(cross, docs, shared, width, "jaccard-cross"))
+    links.append(_verified(_first_overlaps(cross, shared_tokens), docs, shared, width, "jaccard-cross"))
 
     final = connected_components(reduce(DataFrame.unionByName, links))
     member = classes.join(final, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
