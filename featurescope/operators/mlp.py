@@ -6,6 +6,8 @@ Networks are small and the cohort is capped (at most 10,000 rows), so each
 
 from __future__ import annotations
 
+from typing import Any
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -159,7 +161,7 @@ def network_predictions(df: DataFrame, mode: str, own: list[tuple[str, tuple[int
     folds = [r.fold for r in df.select("fold").distinct().orderBy("fold").collect()]
     by_name = dict(own)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         probe, held = key
         pdf = pdf.sort_values("row_id")
         X, Y = np.stack(pdf["features"].to_numpy()).astype(float), np.stack(pdf["y"].to_numpy()).astype(float)

@@ -337,6 +337,7 @@ class Profiler:
             metrics["boundary"] |= {"trigger_counts": {r.t: r.n for r in hit.select(F.explode("triggers").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}, "top_labels": [r.asDict() for r in B.candidate_labels(hit, used).collect()]}
         if size < 3:
             metrics["graph"] = {"component_count": 0, "largest_fraction": 1.0 if size else 0.0, "fragmentation": 0.0, "warning": "too few boundary rows for a graph"}
+            metrics["topology"] = {"skipped": "too few boundary rows"}
             return
         cap = c.cap("boundary_rows")
         if size > cap:
