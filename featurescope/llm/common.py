@@ -33,10 +33,22 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+_HOLDER: list[dict] = []
+
+
+def sole(cache: dict) -> dict:
+    """Let ``cache`` be the only word table that this worker process keeps: one worker serves many operators in turn."""
+    if not _HOLDER or _HOLDER[0] is not cache:
+        for other in _HOLDER:
+            other.clear()
+        _HOLDER[:] = [cache]
+    return cache
+
+
 class WordHashes(dict):
     """64-bit hash of a word, remembered up to a bound; a word's hash never depends on what is remembered."""
 
-    def __init__(self, bound: int = 400_000):
+    def __init__(self, bound: int = 300_000):
         super().__init__()
         self.bound = bound
 
@@ -58,7 +70,7 @@ def word_hashes() -> WordHashes:
     """The worker process's own table."""
     if not _HASHES:
         _HASHES.append(WordHashes())
-    return _HASHES[0]
+    return sole(_HASHES[0])
 
 
 def lower_words(blob: bytes) -> list[bytes]:

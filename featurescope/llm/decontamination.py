@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, small_batches, table, utf8
+from .common import mix, small_batches, sole, table, utf8
 
 RATE = 0.2
 LEAST_WORDS = 5
@@ -47,7 +47,7 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         core = word.lower().strip(_MARKS)
         h = (xxhash.xxh3_64_intdigest(core) or 1) if core else 0
-        if len(self) >= 400_000:
+        if len(self) >= 300_000:
             self.clear()
         self[word] = h
         return h
@@ -59,6 +59,7 @@ _WORDS = _Words()
 def core_words(blob: bytes) -> np.ndarray:
     """Hashes of a text's words."""
     w = blob.split()
+    sole(_WORDS)
     h = np.fromiter(map(_WORDS.__getitem__, w), np.uint64, len(w))
     return h[h != 0]
 

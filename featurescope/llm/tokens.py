@@ -14,6 +14,8 @@ import re
 
 import numpy as np
 
+from .common import sole
+
 END_ID = 2
 
 
@@ -37,7 +39,7 @@ class ChunkEncoder(dict):
     chunks take the full tokenizer one by one.
     """
 
-    def __init__(self, path: str | None, bound: int = 800_000):
+    def __init__(self, path: str | None, bound: int = 400_000):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
@@ -50,10 +52,10 @@ class ChunkEncoder(dict):
         self.ends[[i for x, i in vocab.items() if x.endswith("</w>")]] = True
         self.bound = bound
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self._reset()
-
-    def _reset(self) -> None:
         self.clear()
+
+    def clear(self) -> None:
+        super().clear()
         self.n = 0
         self.words: list[tuple[int, str]] = []
         self.others: list[tuple[int, str]] = []
@@ -113,7 +115,7 @@ class ChunkEncoder(dict):
     def encode(self, blobs: list[bytes], end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """All ids, text after text, each followed by ``end``; and where each text starts (one more at the end)."""
         if len(self) > self.bound:
-            self._reset()
+            self.clear()
         words: list[bytes] = []
         counts = np.empty(len(blobs), np.int64)
         whole = [i for i, b in enumerate(blobs) if b"<|" in b]
@@ -149,4 +151,4 @@ def encoder(path: str | None) -> ChunkEncoder:
     key = path or ""
     if key not in _ENCODERS:
         _ENCODERS[key] = ChunkEncoder(path)
-    return _ENCODERS[key]
+    return sole(_ENCODERS[key])

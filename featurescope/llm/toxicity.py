@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, table, utf8
+from .common import small_batches, sole, table, utf8
 
 BUCKETS = 1 << 16
 DIM = 8
@@ -55,7 +55,7 @@ class Buckets(dict):
         if core:
             start = core.decode("utf-8", "replace")[:START].encode()
             at = (1 + xxhash.xxh3_64_intdigest(core) % (BUCKETS - 1)) << 32 | 1 + xxhash.xxh3_64_intdigest(start, seed=1) % (BUCKETS - 1)
-        if len(self) >= 400_000:
+        if len(self) >= 300_000:
             self.clear()
         self[word] = at
         return at
@@ -73,6 +73,7 @@ def word_rows(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         start[i] = len(words)
         words += b.split()
         words += pad
+    sole(_BUCKETS)
     both = np.fromiter(map(_BUCKETS.__getitem__, words), np.int64, len(words))
     return np.stack([(both >> 32).astype(np.int32), (both & 0xFFFFFFFF).astype(np.int32)]), start
 
