@@ -9,7 +9,9 @@ from urllib.parse import unquote, urlparse
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows in one Arrow batch: bounds what a Python worker holds when texts are very long.
 ARROW_ROWS = 256
@@ -33,6 +35,19 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def lowest_hashes(rows: DataFrame, key: str, n: int, row_id: str = "doc_id") -> DataFrame:
+    """The ``n`` rows of each value of ``key`` with the lowest hash of ``row_id``.
+
+    A cut on the hash, from the value's count, leaves few more than ``n`` before rows of one value meet in one task.
+    """
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).collect()  # one row per value
+    cuts = [(r[key], min(1 << 30, int((1.3 * n + 50) / r.n * (1 << 30)) + 1)) for r in counts]
+    cuts = rows.sparkSession.createDataFrame(cuts, T.StructType([rows.schema[key], T.StructField("_cut", T.LongType())]))
+    few = rows.withColumn("_h", F.pmod(F.xxhash64(row_id), F.lit(1 << 30))).join(F.broadcast(cuts), key).where("_h < _cut")
+    by = Window.partitionBy(key).orderBy("_h", row_id)
+    return few.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= n).select(*rows.columns)
+
+
 _HOLDER: list[dict] = []
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from featurescope.runtime import materialise
 
-from .common import small_batches, table
+from .common import lowest_hashes, small_batches, table
 
 PROFILE = 400
 DOCUMENT = 300
@@ -89,8 +89,7 @@ def learn(docs: DataFrame, *, per_lang: int = PER_LANG, size: int = PROFILE) ->
     """Profiles of every non-null ``lang`` among the documents that are not held out."""
     small_batches(docs.sparkSession)
     known = docs.where("doc_id is not null and text is not null and lang is not null").where(~held_out()).select("doc_id", "lang")
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = materialise(known.withColumn("r", F.row_number().over(by)).where(F.col("r") <= per_lang).select("doc_id").distinct(), "langid-sample")
+    picked = materialise(lowest_hashes(known, "lang", per_lang).select("doc_id").distinct(), "langid-sample")
     rows = docs.where("text is not null and lang is not null").select("doc_id", "lang", "text")
     # per_lang ids of each language: sent to all while few, joined by a shuffle beyond that
     rows = rows.join(F.broadcast(picked) if picked.count() <= 200_000 else picked, "doc_id", "left_semi")

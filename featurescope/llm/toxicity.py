@@ -29,11 +29,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, sole, table, utf8
+from .common import lowest_hashes, small_batches, sole, table, utf8
 
 BUCKETS = 1 << 16
 DIM = 8
@@ -215,8 +215,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, see
     small_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     known = known.where("y in (0, 1)")
-    by = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = known.withColumn("r", F.row_number().over(by)).where(F.col("r") <= per_class).drop("r")
+    sample = lowest_hashes(known, "y", per_class)
     counts = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
