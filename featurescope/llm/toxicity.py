@@ -2,17 +2,18 @@
 
 A word (A-Z lower-cased, marks at its ends dropped) and its first ``START``
 characters each hash to one of ``BUCKETS`` embeddings, whose sum stands for the
-word, so that unseen forms of a known stem are recognised; filters of width 1, 2 and 3 slide over the whole text; each filter's
-largest value goes into a logistic layer.  Because a filter is linear before its
-maximum, the product of embeddings and filters is tabulated once per worker, and
-scoring a word is a few table look-ups.
+word, so that unseen forms of a known stem are recognised; filters of width 1, 2
+and 3 slide over the whole text; each filter's largest value goes into a logistic
+layer.  Because a filter is linear before its maximum, the product of embeddings
+and filters is tabulated once per worker, and scoring a word is a few look-ups.
 
 Training takes a bounded sample of labelled rows (``per_class`` of each class, by
 hash; whole texts), splits a fifth of it off for calibration, fits by mini-batch
 Adagrad, then scales scores so that the threshold with the best F1 on the
 calibration rows lies at 0.3.  Thresholds by language are calibrated on the same
-rows; they serve decisions (``is_toxic``) and are no input of a score.  Buckets
-seen in fewer than ``MIN_DOCS`` sampled documents keep the zero embedding.
+rows, drawn towards 0.3 where these are few; they serve decisions (``is_toxic``)
+and are no input of a score.  Only buckets seen in ``MIN_DOCS`` sampled documents
+have an embedding; all others are zero and take no room.
 
 Defined cases: null or empty text is scored like a text without known words; a
 null ``doc_id`` is never held out and never learned from; several labels of one
@@ -35,52 +36,64 @@ from pyspark.sql import types as T
 
 from .common import lowest_hashes, small_batches, sole, table, utf8
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 24
 DIM = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 8
-START = 5
-MIN_DOCS = 3
+START = 4
+MIN_DOCS = 8
 THRESHOLD = 0.3
+PRIOR = 100
 PER_CLASS = 2500
 _MARKS = b".,;:!?\"'()[]{}*"
 
 
-class Buckets(dict):
-    """Raw word -> the embedding rows of the word and of its start, in one number; row 0 is padding."""
+def word_buckets(word: bytes) -> tuple[int, int]:
+    """The buckets of a word and of its start; 0 for a word of marks only."""
+    core = word.lower().strip(_MARKS)
+    if not core:
+        return 0, 0
+    start = core.decode("utf-8", "replace")[:START].encode()
+    return 1 + xxhash.xxh3_64_intdigest(core) % (BUCKETS - 1), 1 + xxhash.xxh3_64_intdigest(start, seed=1) % (BUCKETS - 1)
+
+
+class Words(dict):
+    """Raw word -> its two buckets in one number; with ``rows``, the embedding rows of these buckets, 0 where there is none."""
+
+    def __init__(self, rows: dict[int, int] | None = None):
+        super().__init__()
+        self.rows = rows
 
     def __missing__(self, word: bytes) -> int:
-        core = word.lower().strip(_MARKS)
-        at = 0
-        if core:
-            start = core.decode("utf-8", "replace")[:START].encode()
-            at = (1 + xxhash.xxh3_64_intdigest(core) % (BUCKETS - 1)) << 32 | 1 + xxhash.xxh3_64_intdigest(start, seed=1) % (BUCKETS - 1)
+        a, b = word_buckets(word)
+        if self.rows is not None:
+            a, b = self.rows.get(a, 0), self.rows.get(b, 0)
         if len(self) >= 300_000:
             self.clear()
-        self[word] = at
-        return at
-
+        self[word] = a << 32 | b
+        return a << 32 | b
 
-_BUCKETS = Buckets()
+    def of(self, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The two numbers of each word of all texts, each text followed by padding (0); and where each text starts."""
+        sole(self)
+        pad = [b""] * max(WIDTHS)
+        words: list[bytes] = []
+        start = np.empty(len(blobs), np.int64)
+        for i, x in enumerate(blobs):
+            start[i] = len(words)
+            words += x.split()
+            words += pad
+        both = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.stack([(both >> 32).astype(np.int32), (both & 0xFFFFFFFF).astype(np.int32)]), start
 
 
-def word_rows(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The two embedding rows (word, start of word) of each word of all texts, each text followed by padding; and where each text starts."""
-    pad = [b""] * max(WIDTHS)
-    words: list[bytes] = []
-    start = np.empty(len(blobs), np.int64)
-    for i, b in enumerate(blobs):
-        start[i] = len(words)
-        words += b.split()
-        words += pad
-    sole(_BUCKETS)
-    both = np.fromiter(map(_BUCKETS.__getitem__, words), np.int64, len(words))
-    return np.stack([(both >> 32).astype(np.int32), (both & 0xFFFFFFFF).astype(np.int32)]), start
+_RAW = Words()
 
 
 @dataclass
 class ToxicityModel:
-    embedding: np.ndarray | None = None  # BUCKETS x DIM
+    known: np.ndarray | None = None  # buckets that have an embedding, ascending
+    embedding: np.ndarray | None = None  # (known + 1) x DIM; row 0 is zero
     filters: list[np.ndarray] = field(default_factory=list)  # per width: width x DIM x FILTERS
     bias: list[np.ndarray] = field(default_factory=list)
     weight: np.ndarray | None = None
@@ -90,9 +103,10 @@ class ToxicityModel:
     constant: float = 0.0
     thresholds: dict[str, float] = field(default_factory=dict)
     _tables: list[np.ndarray] | None = None
+    _words: Words | None = None
 
     def __getstate__(self):
-        return self.__dict__ | {"_tables": None}
+        return self.__dict__ | {"_tables": None, "_words": None}
 
     def pooled(self, x: np.ndarray, start: np.ndarray) -> np.ndarray:
         """Texts x (widths * FILTERS): the largest value of each filter over a text, at least 0."""
@@ -105,7 +119,9 @@ class ToxicityModel:
             cols = self._tables[j].shape[1]
             for half in x:
                 out[: n - j, -cols:] += np.take(self._tables[j], half[j:], axis=0)
-        top = np.maximum.reduceat(out, start, axis=0) + np.concatenate(self.bias)
+        # windows that start at a word or the first padding; later ones would reach into the next text
+        ends = np.append(start[1:], n) - (max(WIDTHS) - 1)
+        top = np.maximum.reduceat(out, np.stack([start, ends], 1).ravel(), axis=0)[::2] + np.concatenate(self.bias)
         return np.maximum(top, 0)
 
     def logit(self, x: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -114,24 +130,25 @@ class ToxicityModel:
     def score(self, blobs: list[bytes]) -> np.ndarray:
         if self.embedding is None:
             return np.full(len(blobs), self.constant)
-        x, start = word_rows(blobs)
+        if self._words is None:
+            self._words = Words({int(h): i + 1 for i, h in enumerate(self.known)})
+        x, start = self._words.of(blobs)
         z = self.scale * self.logit(x, start).astype(np.float64) + self.shift
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _best_threshold(z: np.ndarray, y: np.ndarray) -> float:
-    """The cut with the largest F1, in the middle of the gap below its last accepted value."""
+def _best_threshold(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    """The cut with the largest weighted F1, in the middle of the gap below its last accepted value."""
     order = np.argsort(-z, kind="stable")
-    z, y = z[order], y[order]
-    hits = np.cumsum(y)
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    z, y, w = z[order], y[order], w[order]
+    f1 = 2 * np.cumsum(w * y) / (np.cumsum(w) + (w * y).sum())
     f1[:-1][z[:-1] == z[1:]] = -1  # a cut cannot part equal values
     k = int(np.argmax(f1))
     return float((z[k] + z[k + 1]) / 2) if k + 1 < len(z) else float(z[k] - 1)
 
 
 def train(texts: list[np.ndarray], y: np.ndarray, lang: list[str | None], *, share: float, epochs: int = 14, seed: int = 7) -> ToxicityModel:
-    """Fit on padded rows of ``word_rows``; ``share`` is the share of label 1 among all labelled rows."""
+    """Fit on the padded buckets of whole texts (``Words.of``); ``share`` is the share of label 1 among all labelled rows."""
     if len(set(y.tolist())) < 2:
         seen = float(y.mean()) if len(y) else 0.0
         return ToxicityModel(constant=seen)
@@ -141,12 +158,11 @@ def train(texts: list[np.ndarray], y: np.ndarray, lang: list[str | None], *, sha
     fit = order[len(order) // 5 :]
     if len(set(y[fit].tolist())) < 2 or len(set(y[held].tolist())) < 2:
         held = fit = order
-    docs = np.zeros(BUCKETS, np.int32)  # documents that hold a row
-    for i in fit:
-        docs[np.unique(texts[i])] += 1
-    known = docs >= MIN_DOCS
-    known[0] = False
-    E = (rng.normal(0, 0.1, (BUCKETS, DIM)) * known[:, None]).astype(np.float32)
+    seen, docs = np.unique(np.concatenate([np.unique(texts[i]) for i in fit]), return_counts=True)
+    known = seen[(docs >= MIN_DOCS) & (seen > 0)]
+    texts = [np.where(known[p] == t, p + 1, 0).astype(np.int32) if len(known) else np.zeros_like(t) for t in texts for p in (np.minimum(np.searchsorted(known, t), max(0, len(known) - 1)),)]
+    E = rng.normal(0, 0.1, (len(known) + 1, DIM)).astype(np.float32)
+    E[0] = 0
     W = [rng.normal(0, 0.4, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
     b = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
     v = rng.normal(0, 0.5, FILTERS * len(WIDTHS)).astype(np.float32)
@@ -164,7 +180,7 @@ def train(texts: list[np.ndarray], y: np.ndarray, lang: list[str | None], *, sha
                 out = e @ W[k][0]
                 for j in range(1, w):
                     out[: len(e) - j] += e[j:] @ W[k][j]
-                pos = np.array([s + out[s : s + m].argmax(0) for s, m in zip(start, n, strict=True)])  # texts x FILTERS
+                pos = np.array([s + out[s : s + m - max(WIDTHS) + 1].argmax(0) for s, m in zip(start, n, strict=True)])  # texts x FILTERS
                 where.append(pos)
                 pooled.append(np.take_along_axis(out, pos, 0) + b[k])
             h = np.maximum(np.concatenate(pooled, 1), 0)
@@ -181,7 +197,7 @@ def train(texts: list[np.ndarray], y: np.ndarray, lang: list[str | None], *, sha
                     touched, inv = np.unique(rows.ravel(), return_inverse=True)
                     dE = np.zeros((len(touched), DIM), np.float32)
                     np.add.at(dE, inv, np.concatenate([(g[:, :, None] * W[k][j].T[None]).reshape(-1, DIM)] * 2))
-                    dE *= known[touched][:, None]
+                    dE[touched == 0] = 0
                     gE[touched] += dE * dE
                     E[touched] -= rate * dE / np.sqrt(gE[touched])
                 gW[k] += dW * dW
@@ -193,15 +209,19 @@ def train(texts: list[np.ndarray], y: np.ndarray, lang: list[str | None], *, sha
             v -= rate * dv / np.sqrt(gv)
             gc += dc * dc
             c -= rate * dc / np.sqrt(gc)
-    model = ToxicityModel(E, W, b, v, c)
+    model = ToxicityModel(known, E, W, b, v, c)
     z = np.concatenate([model.logit(texts[i], np.zeros(1, np.int64)) for i in held]).astype(np.float64)
-    cut = _best_threshold(z, y[held])
+    # the sample is balanced; weights bring back the classes' shares
+    part = y[held].mean()
+    weight = np.where(y[held] == 1, share / part, (1 - share) / (1 - part))
+    cut = _best_threshold(z, y[held], weight)
     model.scale = 1.0
     model.shift = float(np.log(THRESHOLD / (1 - THRESHOLD)) - model.scale * cut)
     for one in {x for x in lang if x is not None}:  # by language where it has rows of both classes
         own = np.array([lang[i] == one for i in held])
         if own.sum() >= 20 and len(set(y[held][own].tolist())) == 2:
-            own_z = model.scale * _best_threshold(z[own], y[held][own]) + model.shift
+            n = int(y[held][own].sum())  # few rows: close to the threshold for all
+            own_z = (n * (model.scale * _best_threshold(z[own], y[held][own], weight[own]) + model.shift) + PRIOR * np.log(THRESHOLD / (1 - THRESHOLD))) / (n + PRIOR)
             model.thresholds[one] = float(1 / (1 + np.exp(-np.clip(own_z, -40, 40))))
     return model
 
@@ -221,7 +241,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, see
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x, start = word_rows(utf8(b.column(3)))
+                x, start = _RAW.of(utf8(b.column(3)))
                 parts = [p.tobytes() for p in np.split(x, start[1:], axis=1)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(parts, pa.large_binary() if sum(map(len, parts)) > 1 << 30 else pa.binary())], names=["doc_id", "y", "lang", "x"])
 
