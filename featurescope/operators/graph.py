@@ -67,7 +67,20 @@ def multilabel_components(components: DataFrame, labels: DataFrame) -> DataFrame
     return g.agg(F.avg("d").alias("component_label_diversity"), F.avg("v").alias("component_cardinality_variance"))
 
 
-def _score(src: np.ndarray, dst: np.ndarray, n: int) -> float:
+def capped_components(df: DataFrame, edges: DataFrame) -> DataFrame:
+    """As ``graph_components``, for a cohort that a budget caps: all its edges meet in one task, with no rounds."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, at = np.unique(pdf[["src", "dst"]].to_numpy(), return_inverse=True)
+        at = at.reshape(-1, 2)
+        return pd.DataFrame({"row_id": ids, "component": ids[_roots(at[:, 0], at[:, 1], len(ids))]})
+
+    c = edges.groupBy(F.lit(0).alias("one")).applyInPandas(run, "row_id long, component long")
+    return df.select("row_id").join(c, "row_id", "left").select("row_id", F.coalesce("component", "row_id").alias("component"))
+
+
+def _roots(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
+    """The smallest number in each number's component."""
     parent = np.arange(n)
 
     def find(x: int) -> int:
@@ -76,9 +89,14 @@ def _score(src: np.ndarray, dst: np.ndarray, n: int) -> float:
             x = parent[x]
         return x
 
-    for a, b in zip(src, dst, strict=True):
-        parent[find(a)] = find(b)
-    sizes = np.unique([find(i) for i in range(n)], return_counts=True)[1]
+    for a, b in zip(src.tolist(), dst.tolist(), strict=True):
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return np.array([find(i) for i in range(n)], np.int64)
+
+
+def _score(src: np.ndarray, dst: np.ndarray, n: int) -> float:
+    sizes = np.unique(_roots(src, dst, n), return_counts=True)[1]
     p = sizes / n
     entropy = -(p * np.log(p)).sum() / max(np.log(max(2, len(p))), 1e-9)
     return float(np.clip(np.mean([1 - p.max(), min(1.0, len(p) / max(3, n / 20)), entropy]), 0, 1))

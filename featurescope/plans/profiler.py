@@ -345,7 +345,7 @@ class Profiler:
             sampling["boundary"] = {"rows": cap, "of": size}
         cloud = materialise(cloud, "boundary-cloud")
         links = materialise(H.knn_graph(cloud, other=other), "boundary-edges")
-        comp = materialise(H.graph_components(cloud, links), "boundary-components")
+        comp = materialise(H.capped_components(cloud, links), "boundary-components")
         graph = _first(H.fragmentation(comp))
         if mode == "singlelabel":
             graph |= _first(H.cross_class_edges(links, cloud))

@@ -311,7 +311,9 @@ def test_geometry_and_topology(spark):
     assert topology.gate("auto", "fast", 100, 1.0) and topology.gate("auto", "standard", 100, 1.0) is None and topology.gate("auto", "standard", 10, 1.0)
     two = np.concatenate([np.linspace(0, 1, 12)[:, None], np.linspace(10, 11, 12)[:, None]])
     d = frame(spark, two, [0] * 24)
-    f = graph.fragmentation(graph.graph_components(d, graph.knn_graph(d, k=3))).first()
+    e = graph.knn_graph(d, k=3)
+    f = graph.fragmentation(graph.graph_components(d, e)).first()
+    assert sorted(graph.graph_components(d, e).collect()) == sorted(graph.capped_components(d, e).collect())
     assert f.component_count == 2 and f.largest_fraction == 0.5 and f.size_entropy == pytest.approx(1)
 
 
