@@ -1,8 +1,9 @@
+import os
 import subprocess
 import sys
 import textwrap
 
-from conftest import ROOT
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def test_contract(spark):
