@@ -9,10 +9,10 @@ that overlap, the one with the best score stays; none overlaps a base span.
 
 Training needs no labels.  From a bounded sample of documents (``SAMPLE``, by
 hash; whole texts) positives are base spans rewritten in the loose forms people
-use ((at), dot, spaced or missing marks) and generated secrets, each set in its
-own or another document's words; negatives are the generators' finds that touch
-no base span, and numbers of other kinds (versions, dates, prices, counters) set
-in such words.  A fifth is held back; each kind's threshold is the smallest score
+use ((at), dot, spaced or missing marks) and generated secrets of 16 to 1448
+characters, each set in its own or another document's words; negatives are the
+generators' finds that touch no base span, and numbers of other kinds (versions,
+dates, prices, counters, paths) set in such words.  A fifth is held back; each kind's threshold is the smallest score
 that keeps ``PRECISION`` there.
 
 Defined cases: null text counts as empty and has no spans; positions are code
@@ -106,7 +106,7 @@ _GENERATORS = {
     "ip": re.compile(r"(?<![\d.])\d{1,3}(?:\s?[.,]\s?|\s?(?:\[\.\]|\(dot\)|\[dot\])\s?)\d{1,3}(?:(?:\s?[.,]\s?|\s?(?:\[\.\]|\(dot\)|\[dot\])\s?)\d{1,3}){1,2}(?![\d])"),
     "card": re.compile(r"(?<!\d)\d{3,6}+(?:[ ._/-]?\d{2,6}+){2,5}(?!\d)"),
     "phone": re.compile(r"(?<![\w])(?:\+|00)?\(?\d{1,4}\)?(?:[ ./-]{0,2}\(?\d{2,5}\)?){1,5}(?!\w)"),
-    "secret": re.compile(r"(?<![\w+/=-])(?=[\w+/-]*[0-9])[A-Za-z0-9_+/-]{12,128}+=*"),
+    "secret": re.compile(r"(?<![\w+/=-])(?=[\w+/-]*[0-9])[A-Za-z0-9_+/-]{12,}+=*"),
 }
 _TRIGGER = re.compile(r"[0-9@]|\(at\)|\[at\]| dot |\(dot\)|\[dot\]", re.I)
 _CUES = {
@@ -137,7 +137,7 @@ def features(text: str, span: Span) -> list[float]:
     upper = sum(c.isupper() for c in s)
     runs = re.findall(r"\d+|[^\W\d_]+|[\W_]+", s)
     counts = np.unique(list(s), return_counts=True)[1] / len(s)
-    tail = re.search(r"([a-z]+)\W*$", s.lower())
+    tail = re.match(r"\W*+([a-z]+)", s.lower()[::-1])  # from the end, so that a long run is read once
     return [
         float(ALL_KINDS.index(kind)),
         float(len(s)),
@@ -252,7 +252,7 @@ def _loose(rng: np.random.Generator, kind: str, s: str) -> str:
     return (f"({area}) {rest[:3]}-{rest[3:]}", f"{area}-{rest[:3]}-{rest[3:]}", f"00{d[:-10] or 1} {area} {rest[:3]} {rest[3:]}", f"{area}.{rest[:3]}.{rest[3:]}")[pick]
 
 
-def _generated(rng: np.random.Generator, kind: str) -> str:
+def _generated(rng: np.random.Generator, kind: str, *, long: bool = False) -> str:
     num = lambda n: "".join(map(str, rng.integers(0, 10, n)))
     word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(4, 10)))
     if kind == "email":
@@ -266,7 +266,17 @@ def _generated(rng: np.random.Generator, kind: str) -> str:
         return f"+{rng.integers(1, 99)} {num(3)} {num(3)} {num(4)}"
     sets = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
     chars = sets[rng.integers(3)]
-    return "".join(chars[i] for i in rng.integers(0, len(chars), rng.integers(16, 49)))
+    n = rng.integers(16, 49)
+    if long:  # signatures, payloads and keys on one line
+        chars, n = (*sets, sets[2] + "-_", sets[2] + "+/")[rng.integers(5)], int(2 ** rng.uniform(5.5, 10.5))
+    return "".join(chars[i] for i in rng.integers(0, len(chars), n))
+
+
+def _path(rng: np.random.Generator) -> str:
+    """Words and numbers joined as in paths and titles of pages, up to the length of long secrets."""
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 11)))
+    sep = "-_/"[rng.integers(3)]
+    return sep.join([str(rng.integers(1, 3000)), *(str(rng.integers(1, 3000)) if rng.random() < 0.2 else word() for _ in range(int(2 ** rng.uniform(1, 8))))])
 
 
 def _harmless(rng: np.random.Generator) -> str:
@@ -285,7 +295,8 @@ def _harmless(rng: np.random.Generator) -> str:
         f"item_{n(1, 10**6)}_of_list",
         f"{n(1, 99)} {n(1, 99)} {n(1, 99)} {n(1, 99)}",
         f"meet at noon. {n(1, 10)}",
-    )[n(0, 13)]
+        _path(rng),
+    )[n(0, 14)]
 
 
 @dataclass
@@ -357,9 +368,9 @@ def train(texts: list[str], *, per_kind: int = 400, seed: int = 11) -> PiiModel:
         for c in free[:4]:  # the sample's other numbers, a few of each document
             put(t, c, 0)
     for kind in ALL_KINDS:
-        for i in range(per_kind):
+        for i in range(per_kind + (kind == "secret") * (per_kind // 3)):
             own = seeds[kind]
-            strict = own[rng.integers(len(own))] if own and i % 2 else _generated(rng, kind)
+            strict = own[rng.integers(len(own))] if own and i % 2 else _generated(rng, kind, long=i >= per_kind)
             piece = strict if kind == "secret" else _loose(rng, kind, strict)
             cue = _CUES[kind][rng.integers(len(_CUES[kind]))] + (" ", ": ", "=", ' = "')[rng.integers(4)] if rng.random() < 0.5 else ""
             text, at = set_in(piece, cue)

@@ -236,6 +236,19 @@ def test_pii_added_spans():
     assert found("version 2.0 of 1,234,567 in 2019-01-02, chapter-1-section-2") == []
 
 
+@pytest.mark.parametrize("n", [129, 300, 2000])
+def test_pii_long_secrets_go_to_their_end(docs, n):
+    rng = random.Random(n)
+    secret = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_") for _ in range(n - 1)) + "7"
+    text = f"the key is {secret} and more words follow"
+    assert ("secret", 11, 11 + n) in pii.candidates(text)
+    for model in (pii.learn(docs), pii.train(["plain words only here, nothing else to see in this text, not at all, as it is"] * 20)):
+        assert pii.redacted(text, pii.spans(text, model)[1]) == "the key is [SECRET] and more words follow"
+        path = "see the page " + "-".join(rng.choice(["news", "about", "river", "summer", "works"]) for _ in range(n // 6)) + "-2019 there"
+        assert pii.spans(path, model)[1] == []
+        assert pii.spans("a" * 150_000 + "1", model)[1] is not None  # long runs stay linear
+
+
 def test_pii_empty(empty):
     model = pii.learn(empty)
     assert pii.find(empty, model).count() == 0 and pii.redact(empty, model).count() == 0
