@@ -108,7 +108,8 @@ _GENERATORS = {
     "phone": re.compile(r"(?<![\w])(?:\+|00)?\(?\d{1,4}\)?(?:[ ./-]{0,2}\(?\d{2,5}\)?){1,5}(?!\w)"),
     "secret": re.compile(r"(?<![\w+/=-])(?=[\w+/-]*[0-9])[A-Za-z0-9_+/-]{12,}+=*"),
 }
-_TRIGGER = re.compile(r"[0-9@]|\(at\)|\[at\]| dot |\(dot\)|\[dot\]", re.I)
+#: What every match of a generator holds: a digit, a mark that stands for @, or the word "at" before a dotted word.
+_TRIGGER = re.compile(rf"[\d@]|\(at\)|\[at\]|\(a\)|\bat\b\s?[\w-]{{1,63}}+{_DOT}[\w-]{{2}}", re.I)
 _CUES = {
     "email": ("mail", "contact", "write", "@"),
     "ip": ("ip", "host", "addr", "server"),

@@ -249,6 +249,20 @@ def test_pii_long_secrets_go_to_their_end(docs, n):
         assert pii.spans("a" * 150_000 + "1", model)[1] is not None  # long runs stay linear
 
 
+def test_pii_shortcut_loses_no_candidate():
+    every = lambda t: [(k, *m.span()) for k, g in pii._GENERATORS.items() for m in g.finditer(t)]
+    for t in ("write to jane at example.com today", "jane AT example dot com", "jane(a)example.com", "jane (A) example [dot] com", "call \u0661\u0662\u0663 \u0664\u0665\u0666\u0667 now"):
+        assert every(t) and pii.candidates(t) == every(t), t
+    assert not pii._TRIGGER.search("look at this, and not at that (dot)")  # still a shortcut
+    rng, seen = random.Random(4), 0
+    pieces = ["at", "AT", " ", " ", "a", "bc", "example", ".", ".", "com", "(a)", "(at)", "[at]", "(dot)", "[dot]", "dot", "@", "-", "\n", "\u00e9", "_", "x" * 63, "\u0663"]
+    for _ in range(20000):
+        t = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 14)))
+        assert pii.candidates(t) == every(t), t
+        seen += bool(every(t))
+    assert seen > 500
+
+
 def test_pii_empty(empty):
     model = pii.learn(empty)
     assert pii.find(empty, model).count() == 0 and pii.redact(empty, model).count() == 0
