@@ -344,7 +344,7 @@ def residual_size(spark, d):
 def topology_h0(spark, d):
     import numpy as np
 
-    X = np.array([r.features for r in K.uniform_sample(embeddings(spark, d), 300, 1).collect()])
+    X = np.array([r.features for r in K.uniform_sample(embeddings(spark, d), T.MOST_ROWS, 1).collect()])
     s = T.persistence_summary(X)
     return spark.createDataFrame([(s["h0_count"], round(s["h0_total"], 6), round(s["h0_entropy"], 6), round(s["scale"], 6))], "h0_count int, h0_total double, h0_entropy double, scale double")
 
@@ -385,8 +385,7 @@ def probe_linear(spark, d):
 
 @query()
 def probe_quadratic(spark, d):
-    e = embeddings(spark, d).withColumn("features", F.slice("features", 1, 12))
-    f = materialise(K.encoded(K.stratified_folds(e, 3, 42)).withColumn("y", F.array(F.col("code").cast("double"))), "folded")
+    f = materialise(K.encoded(K.stratified_folds(embeddings(spark, d), 3, 42)).withColumn("y", F.array(F.col("code").cast("double"))), "folded")
     return _flat(P.out_of_fold(f, P.ProbeSettings("singlelabel", 15, 1), ("smooth_poly",)))
 
 
@@ -470,5 +469,5 @@ def bootstrap_paired_deltas(spark, d):
 def diagnose_report(spark, d):
     from .profiler import diagnose
 
-    r = diagnose(embeddings(spark, d).withColumn("features", F.slice("features", 1, 8)), return_report=True, budget="fast", topology="off", random_state=0)
+    r = diagnose(embeddings(spark, d), return_report=True, random_state=0)
     return spark.createDataFrame([(r.recommendation, r.confidence, r.to_json(terse=True))], "recommendation string, confidence string, report string")

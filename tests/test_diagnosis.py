@@ -389,3 +389,36 @@ def test_report_is_json_safe():
 def test_target_rank():
     assert audit.target_rank({(0, 1): 0.0}, 2) == (pytest.approx(2.0), 0.0)
     assert audit.target_rank({(0, 1): 1.0}, 2)[0] == pytest.approx(1.0)
+
+
+def test_registered_queries_run_whole(spark, monkeypatch):
+    """The queries without SQL hand their operators all features, and the operators' own limits."""
+    import featurescope.plans.profiler as profiler
+    from featurescope.operators import cohort, probes, topology
+    from featurescope.plans import registry
+
+    d = "/root/testdata/sf0.001"
+    seen = {}
+
+    def diagnose(df, **settings):
+        seen["diagnose"] = df, settings
+        raise InterruptedError
+
+    def out_of_fold(df, s, names):
+        seen["probe"] = df
+        raise InterruptedError
+
+    monkeypatch.setattr(profiler, "diagnose", diagnose)
+    monkeypatch.setattr(probes, "out_of_fold", out_of_fold)
+    for name in ("diagnose_report", "probe_quadratic"):
+        with pytest.raises(InterruptedError):
+            registry.QUERIES[name](spark, d)
+    df, settings = seen["diagnose"]
+    width = lambda x: {len(r.features) for r in x.select("features").collect()}
+    assert width(df) == width(seen["probe"]) == {64}
+    assert not {"budget", "topology", "max_samples"} & set(settings)
+
+    draw, caps = cohort.uniform_sample, []
+    monkeypatch.setattr(cohort, "uniform_sample", lambda e, n, seed: caps.append(n) or draw(e, n, seed))
+    assert registry.QUERIES["topology_h0"](spark, d).first().h0_count > 0
+    assert caps == [topology.MOST_ROWS]
