@@ -26,7 +26,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op2_fragment_jaccard": op2_fragment_jaccard,
     "op3_url_lm_ratio": url_filter.ORACLE_SQL,
     "op4_zip_warc": warc_zip.ORACLE_SQL,
 }

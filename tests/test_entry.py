@@ -48,3 +48,9 @@ def test_streamed_counts(spark, tmp_path):
     q.stop()
     got = spark.sql("select * from counts").collect()
     assert len(got) == 15 and all(r.n == 20 for r in got)
+
+
+def test_oracle_is_sql():
+    import __spark_entry__ as e
+
+    assert all(isinstance(sql, str) for sql in e.oracle_sql().values())
