@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featurescope.runtime import materialise
+from featurescope.runtime import discard, materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", *
     e = materialise(e.distinct(), "edges")
     before = None
     for _ in range(rounds):
-        e = materialise(_small_star(_large_star(e)), "stars")
+        done, e = e, materialise(_small_star(_large_star(e)), "stars")
+        discard(done)
         state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -11,10 +11,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOTS: dict[str, str] = {}
+_STORED: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -57,18 +59,31 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared store and read it back: lineage ends here.
+#: Spark deletes the shuffle files of a finished statement where this is set.
+_CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
-    Shuffle files of what is written are of no use any more; Spark deletes them when
-    the driver collects its garbage, which a long run may not do for very long, so
-    that is asked for here.
-    """
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared store and read it back: lineage ends here, and the shuffle files that led here go."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN_SHUFFLES, "false")
+    spark.conf.set(_CLEAN_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_SHUFFLES, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _STORED[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that ``materialise`` returned and nothing reads any more."""
+    for df in frames:
+        ref, path = _STORED.pop(id(df), (None, None))
+        if ref is not None and ref() is df:
+            _remove(df.sparkSession, path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
