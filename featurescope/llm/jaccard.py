@@ -22,20 +22,27 @@ expanded into all its pairs: first each is compared with the one of them that ha
 the fewest rarer shingles; of the groups that these links form, only documents
 of *different* groups are compared with each other, all of them.  Links left out
 join documents that are connected already, so the components are exact.
+``links`` leaves none out: it returns every link between different sets, and the
+members of each set with their number of links.
 
-Hot keys: equal sets are combined before the shuffle; a hot first document's
-partners are dealt over several cells, its segments copied to each.
+Hot keys: equal sets are combined before the shuffle; what is known of a shingle
+(its first document, its components) is aggregated before the shuffle and joined
+back, where AQE splits a hot shingle's rows; a hot first document's partners are
+dealt over several cells, its segments copied to each.
 
 Defined cases: null or empty text has the empty set and links with nothing; fewer
 words than a shingle form one shingle; repeated rows are equal sets; rows with
-null ``doc_id`` link with nothing and have a null component; an empty table gives
-no rows; further columns are ignored.
+null ``doc_id`` link with nothing and have a null component; rows of one
+``doc_id`` are one document, with the links of each of its texts; an empty table
+gives no rows; further columns are ignored.  ``keep_one`` judges rows, whatever
+their ``doc_id``.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -43,11 +50,11 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featurescope.operators.components import connected_components
-from featurescope.runtime import materialise
+from featurescope.runtime import discard, materialise
 
 from .common import lower_words, small_batches, table, utf8, window_hashes, word_hashes
 
@@ -57,7 +64,8 @@ SLICES = 64
 FRAGMENTS = 4
 CELL = 1500
 _SHIFT = np.uint64(64 - 20)
-_SEEN_BITS = 1 << 24
+#: A table of ids has 8 bits for each, from 2^20 to 2^28 (32 MB) in all; more ids than the largest holds are joined instead.
+_LEAST_BITS, _MOST_BITS = 1 << 20, 1 << 28
 
 
 def shingles(blob: bytes, width: int = WIDTH) -> np.ndarray:
@@ -153,33 +161,37 @@ def _order(scan: DataFrame) -> Order:
     return Order(counts)
 
 
-def _hash_bits(ids: DataFrame):
-    """A table of ``_SEEN_BITS`` hash bits over the longs of the only column, sent to all: of fixed size, false positives possible."""
+def _id_table(ids: DataFrame) -> tuple[int, object] | None:
+    """(bits, broadcast table): hash bits of the longs of the only column, false positives possible; None if there are too many."""
     (c,) = ids.columns
-    at = F.pmod(F.xxhash64(c), F.lit(_SEEN_BITS))
+    n = ids.count()
+    if 4 * n > _MOST_BITS:
+        return None
+    size = min(_MOST_BITS, max(_LEAST_BITS, 1 << (8 * n).bit_length()))
+    at = F.pmod(F.xxhash64(c), F.lit(size))
     bits = ids.select(F.floor(at / 32768).cast("long").alias("bucket"), F.pmod(at, F.lit(32768)).alias("bit"))
-    rows = bits.groupBy("bucket").agg(F.expr("bitmap_construct_agg(bit)").alias("map")).collect()  # at most 512 rows of 4 KB
-    seen = np.zeros(_SEEN_BITS // 8, np.uint8)
+    rows = bits.groupBy("bucket").agg(F.expr("bitmap_construct_agg(bit)").alias("map")).collect()  # size / 32768 rows of 4 KB
+    seen = np.zeros(size // 8, np.uint8)
     for r in rows:
         seen[r.bucket * 4096 : (r.bucket + 1) * 4096] = np.frombuffer(bytes(r.map), np.uint8)
-    return ids.sparkSession.sparkContext.broadcast(seen)
+    return size, ids.sparkSession.sparkContext.broadcast(seen)
 
 
 def _marked(seen: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (seen[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _with_hash(docs: DataFrame) -> DataFrame:
-    return docs.where("doc_id is not null").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(_SEEN_BITS)))
+def _with_hash(docs: DataFrame, size: int) -> DataFrame:
+    return docs.where("doc_id is not null").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(size)))
 
 
-def _prefixes(docs: DataFrame, shared, width: int, copies, wanted: bool) -> DataFrame:
-    """rep, n, prefix of the documents that ``copies`` marks (or of those it does not)."""
+def _prefixes(docs: DataFrame, shared, width: int, copies) -> DataFrame:
+    """rep, n, prefix, doubtful of all documents; without ``doubtful`` a document is no copy of a smaller one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
         for b in batches:
-            b = b.filter(pa.array(_marked(copies.value, b.column(2).to_numpy()) == wanted))
+            doubt = np.ones(b.num_rows, bool) if copies is None else _marked(copies[1].value, b.column(2).to_numpy())
             row, n, parts = [], [], []
             for i, t in enumerate(utf8(b.column(1))):
                 s = order.sorted(shingles(t, width))
@@ -189,19 +201,22 @@ def _prefixes(docs: DataFrame, shared, width: int, copies, wanted: bool) -> Data
                     parts.append(s[: prefix_length(len(s))].astype(np.int64))
             off = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
             flat = np.concatenate(parts) if parts else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int32())), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], names=["rep", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int32())), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat)), pa.array(doubt[np.array(row, np.int64)], pa.bool_())], names=["rep", "n", "prefix", "doubtful"])
 
-    return _with_hash(docs).mapInArrow(run, "rep long, n long, prefix array<long>")
+    return _with_hash(docs, _LEAST_BITS if copies is None else copies[0]).mapInArrow(run, "rep long, n long, prefix array<long>, doubtful boolean")
 
 
 def _segments(docs: DataFrame, wanted: DataFrame, shared, width: int) -> DataFrame:
-    """rep, frag, seg of the wanted documents and a few others that share their hash bits."""
-    packed = _hash_bits(wanted)
+    """rep, frag, seg of the wanted documents (``rep``, distinct), perhaps of a few others too."""
+    packed = _id_table(wanted)
+    if packed is None:  # so many that texts move to their ids
+        docs = docs.join(wanted.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
         for b in batches:
-            b = b.filter(pa.array(_marked(packed.value, b.column(2).to_numpy())))
+            if packed is not None:
+                b = b.filter(pa.array(_marked(packed[1].value, b.column(2).to_numpy())))
             row, frag, seg = [], [], []
             for i, t in enumerate(utf8(b.column(1))):
                 for f, x in enumerate(order.segments(order.sorted(shingles(t, width)))):
@@ -211,7 +226,7 @@ def _segments(docs: DataFrame, wanted: DataFrame, shared, width: int) -> DataFra
                         seg.append(x.tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int32())), pa.array(frag, pa.int32()), pa.array(seg, pa.binary())], names=["rep", "frag", "seg"])
 
-    return _with_hash(docs).mapInArrow(run, "rep long, frag int, seg binary")
+    return _with_hash(docs, _LEAST_BITS if packed is None else packed[0]).mapInArrow(run, "rep long, frag int, seg binary")
 
 
 # ---------------------------------------------------------------- partial overlaps
@@ -242,7 +257,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, shared, width: int, name: str)
     total = pairs.count()
     if not total:
         return pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep")))
+    wanted = materialise(pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct(), f"{name}-wanted")
     cells = max(1, -(-total // CELL))
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("parts"))
     dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
@@ -254,7 +269,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, shared, width: int, name: str)
     partial = met.groupBy("frag", "cell").applyInArrow(_overlaps, "a long, b long, overlap long")
     summed = partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
     links = pairs.join(summed, ["a", "b"]).where("9 * overlap >= 4 * (na + nb)")
-    return materialise(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), f"{name}-links")
+    links = materialise(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), f"{name}-links")
+    discard(pairs, wanted, need)
+    return links
 
 
 def _first_overlaps(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
@@ -279,52 +296,131 @@ def _may_link(n, at, m, bt):
     return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (F.least(n - at, m - bt) >= least_overlap(n, m))
 
 
-def components(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+@dataclass
+class _Prepared:
+    """What both joins start from."""
+
+    docs: DataFrame
+    shared: object  # the broadcast order
+    own: DataFrame  # doc_id, n, digest of every row
+    classes: DataFrame  # digest, rep
+    tokens: DataFrame  # token, pos, n, rep, last, first: prefix shingles that several representatives share
+    prefixes: DataFrame  # rep, tokens, last
+
+
+def _prepared(docs: DataFrame, width: int) -> _Prepared:
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scan = materialise(_scan(docs, width), "jaccard-scan")
     shared = spark.sparkContext.broadcast(_order(scan))  # BINS levels, whatever the input
     own = scan.where("kind = 0").select("doc_id", "n", F.col("data").alias("digest"))
-    classes = materialise(own.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
+    known = own.where("digest is not null and doc_id is not null")
+    classes = materialise(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
 
-    # the documents of each shingle, with the one that has the fewest rarer shingles
     # only documents that may be copies of a smaller one (or share the hash bit of one) have to be looked up among the classes
-    copies = _hash_bits(own.where("digest is not null and doc_id is not null").join(classes.withColumnRenamed("rep", "least"), "digest").where("doc_id <> least").select("doc_id"))
-    doubtful = _prefixes(docs, shared, width, copies, True).join(classes.select("rep").hint("merge"), "rep", "left_semi")
-    prefixes = _prefixes(docs, shared, width, copies, False).unionByName(doubtful)
+    copies = _id_table(known.join(classes.withColumnRenamed("rep", "least"), "digest").where("doc_id <> least").select("doc_id"))
+    every = materialise(_prefixes(docs, shared, width, copies), "jaccard-every")
+    prefixes = every.where("not doubtful").unionByName(every.where("doubtful").join(classes.select("rep").hint("merge"), "rep", "left_semi")).drop("doubtful")
     tokens = prefixes.select("rep", "n", F.element_at("prefix", -1).alias("last"), F.posexplode("prefix").alias("pos", "token")).select("token", F.col("pos").cast("long").alias("pos"), "n", "rep", "last")
     tokens = tokens.where(F.col("n") - F.col("pos") >= F.ceil(0.8 * F.col("n") - 1e-9))
-    by = Window.partitionBy("token")
-    tokens = tokens.withColumn("many", F.count(F.lit(1)).over(by)).withColumn("first", F.min(F.struct("pos", "n", "rep")).over(by)).where("many > 1").drop("many")
-    tokens = materialise(tokens, "jaccard-tokens")
-    near = tokens.where("rep <> first.rep").where(_may_link(F.col("n"), F.col("pos"), F.col("first.n"), F.col("first.pos")))
+    # the document of each shingle that has the fewest rarer shingles
+    firsts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("pos", "n", "rep")).alias("first")).where("many > 1").drop("many")
+    firsts = materialise(firsts, "jaccard-firsts")
+    tokens = materialise(tokens.join(firsts, "token"), "jaccard-tokens")
+    discard(every, firsts)
+    lists = materialise(tokens.groupBy("rep").agg(F.collect_list("token").alias("tokens"), F.first("last").alias("last")), "jaccard-prefixes")  # at most a prefix each
+    return _Prepared(docs, shared, own, classes, tokens, lists)
+
+
+def _met(x: DataFrame, y: DataFrame, more=None) -> DataFrame:
+    """The pairs (a, na, b, nb), each once, that meet at some shingle and may link."""
+    x, y = x.alias("x"), y.alias("y")
+    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") < F.col("y.rep")) & _may_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
+    return x.join(y, on if more is None else on & more).select(F.col("x.rep").alias("a"), F.col("x.n").alias("na"), F.col("y.rep").alias("b"), F.col("y.n").alias("nb")).distinct()
+
+
+def components(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+    p = _prepared(docs, width)
+    near = p.tokens.where("rep <> first.rep").where(_may_link(F.col("n"), F.col("pos"), F.col("first.n"), F.col("first.pos")))
     stars = near.select(F.col("first.rep").alias("a"), F.col("first.n").alias("na"), F.col("rep").alias("b"), F.col("n").alias("nb")).distinct()
     stars = materialise(stars, "jaccard-stars")
-    shared_tokens = materialise(tokens.groupBy("rep").agg(F.collect_list("token").alias("tokens"), F.first("last").alias("last")), "jaccard-prefixes")  # at most a prefix each
-    links = [_verified(_first_overlaps(stars, shared_tokens), docs, shared, width, "jaccard-stars")]
+    links = [_verified(_first_overlaps(stars, p.prefixes), p.docs, p.shared, width, "jaccard-stars")]
     groups = connected_components(links[0])
 
     # documents of one shingle that are in different groups
-    labelled = tokens.drop("first", "last").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = labelled.withColumn("lo", F.min("component").over(by)).withColumn("hi", F.max("component").over(by)).where("lo < hi").drop("lo", "hi")
-    x, y = mixed.alias("x"), mixed.alias("y")
-    cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & _may_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
-    cross = cross.select(F.col("x.rep").alias("a"), F.col("x.n").alias("na"), F.col("y.rep").alias("b"), F.col("y.n").alias("nb")).distinct().join(stars.select("a", "b").union(stars.select("b", "a")), ["a", "b"], "left_anti")
-    links.append(_verified(_first_overlaps(cross, shared_tokens), docs, shared, width, "jaccard-cross"))
+    labelled = p.tokens.drop("first", "last").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    labelled = materialise(labelled, "jaccard-labelled")
+    several = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+    mixed = materialise(labelled.join(several, "token", "left_semi"), "jaccard-mixed")
+    cross = _met(mixed, mixed, F.col("x.component") != F.col("y.component")).join(stars.select("a", "b").union(stars.select("b", "a")), ["a", "b"], "left_anti")
+    links.append(_verified(_first_overlaps(cross, p.prefixes), p.docs, p.shared, width, "jaccard-cross"))
+
+    # a repeated doc_id with several texts is one document
+    ids = p.own.where("doc_id is not null").join(p.classes, "digest").select("doc_id", "rep").distinct()
+    texts = ids.groupBy("doc_id").agg(F.min("rep").alias("src"), F.max("rep").alias("dst")).where("src < dst")
+    links.append(ids.join(texts, "doc_id").select("src", F.col("rep").alias("dst")))
 
     final = connected_components(reduce(DataFrame.unionByName, links))
-    member = classes.join(final, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    out = own.join(member, "digest", "left")
+    member = p.classes.join(final, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+    out = p.own.join(member, "digest", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+def links(docs: DataFrame, *, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): every link between representatives of different sets (src < dst), and doc_id, n_shingles, rep, n_links of every row.
+
+    ``rep`` is the smallest ``doc_id`` with the same set (null for an empty set or a null ``doc_id``); ``n_links``
+    counts the other documents that a document links with, copies included.
+    """
+    p = _prepared(docs, width)
+    pairs = _verified(_first_overlaps(_met(p.tokens, p.tokens), p.prefixes), p.docs, p.shared, width, "jaccard-links")
+    known = p.own.where("digest is not null and doc_id is not null")
+    sizes = known.groupBy("digest").agg(F.count_distinct("doc_id").alias("size")).join(p.classes, "digest").select("rep", "size")
+    sizes = materialise(sizes, "jaccard-sizes")
+    both = pairs.select(F.col("src").alias("rep"), F.col("dst").alias("other")).union(pairs.select(F.col("dst").alias("rep"), F.col("src").alias("other")))
+    more = both.join(sizes.select(F.col("rep").alias("other"), "size"), "other").groupBy("rep").agg(F.sum("size").alias("more"))
+    counts = sizes.join(more, "rep", "left").select("rep", (F.col("size") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
+    members = p.own.join(p.classes.join(counts, "rep"), "digest", "left")
+    some = F.col("doc_id").isNotNull()
+    return pairs, members.select("doc_id", F.col("n").alias("n_shingles"), F.when(some, F.col("rep")).alias("rep"), F.when(some, F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"))
+
+
 def keep_one(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest ``doc_id``; documents with empty sets all stay."""
-    gone = components(docs, width=width).where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one row of each component: one of the smallest ``doc_id``; rows with empty sets all stay.
+
+    Rows are judged, not ids: where ``doc_id`` is not unique or null, rows get numbers of their own first.
+    """
+    counts = docs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.col("doc_id").cast("long")).alias("ids")).first()
+    if counts.n == counts.ids:
+        gone = components(docs, width=width).where("doc_id <> component_id").select("doc_id")
+        return docs.join(gone.withColumnRenamed("doc_id", "gone_"), F.col("doc_id").cast("long") == F.col("gone_"), "left_anti")
+    rows = materialise(docs.withColumn("row_", F.monotonically_increasing_id()), "jaccard-rows")
+    found = components(rows.select(F.col("row_").alias("doc_id"), "text"), width=width).select(F.col("doc_id").alias("row_"), "component_id", F.col("n_shingles").alias("size_"))
+    found = found.where("size_ > 0").join(rows.select("row_", F.col("doc_id").cast("long").alias("id_")), "row_")
+    found = materialise(found, "jaccard-found")
+    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("id_").isNull().alias("none"), "id_", "row_")).alias("best"))
+    gone = found.join(best, "component_id").where("row_ <> best.row_").select("row_")
+    return rows.join(gone, "row_", "left_anti").select(*docs.columns)
 
 
 def op2_fragment_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents"))
+
+
+# Sets of equal shingles are one class; classes that share a shingle are counted; links close up to the smallest doc_id.
+ORACLE_SQL = f"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') w from documents),
+s as (select doc_id, list_sort(list_distinct(case when len(w) = 0 then []::varchar[] when len(w) < {WIDTH} then [array_to_string(w, ' ')]
+  else list_transform(range(1, len(w) - {WIDTH} + 2), lambda i: array_to_string(w[i : i + {WIDTH - 1}], ' ')) end)) s from w),
+c as (select s, min(doc_id) rep, len(s) n from s where len(s) > 0 group by s),
+t as (select rep, n, unnest(s) x from c),
+p as (select a.rep a, b.rep b from t a join t b on a.x = b.x and a.rep < b.rep where 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) group by a.rep, b.rep having 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+d as (select distinct s.doc_id, c.rep from s join c on c.s = s.s),
+l as (select a, b from p union select x.rep, y.rep from d x join d y on x.doc_id = y.doc_id and x.rep < y.rep),
+e as (select a u, b v from l union all select b, a from l),
+r as (select rep u, rep v from c union select r.u, e.v from r join e on e.u = r.v),
+m as (select u, min(v) component_id from r group by u)
+select s.doc_id, len(s.s)::bigint n_shingles, coalesce(m.component_id, s.doc_id) component_id from s left join c on c.s = s.s left join m on m.u = c.rep
+"""

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from . import url_filter, warc_zip
+from . import jaccard, url_filter, warc_zip
 from .ann_tree import op8_kmeans_tree
 from .decontamination import op1_pigeonhole_myers
-from .jaccard import op2_fragment_jaccard
 from .langid import op5_rank_order_langid
 from .packing import op6_harmonic_packing
 from .pii import op7_pii_boosted
@@ -14,7 +13,7 @@ from .toxicity import op10_toxicity_cnn
 
 QUERIES = {
     "op1_pigeonhole_myers": op1_pigeonhole_myers,
-    "op2_fragment_jaccard": op2_fragment_jaccard,
+    "op2_fragment_jaccard": jaccard.op2_fragment_jaccard,
     "op3_url_lm_ratio": url_filter.op3_url_lm_ratio,
     "op4_zip_warc": warc_zip.op4_zip_warc,
     "op5_rank_order_langid": op5_rank_order_langid,
@@ -26,6 +25,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_fragment_jaccard": jaccard.ORACLE_SQL,
     "op3_url_lm_ratio": url_filter.ORACLE_SQL,
     "op4_zip_warc": warc_zip.ORACLE_SQL,
 }

@@ -14,7 +14,8 @@ accuracy.
 
 One pass counts n-grams (combined before the shuffle); the models are built over
 the distinct n-grams bottom-up, so a context is stored once for both; scoring is
-one join by n-gram, whose skew AQE splits.
+one join by n-gram, whose skew AQE splits.  The characters of a URL carry its
+16-byte digest, not the URL, so a long one costs no more than its length.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path and
 is scored as an empty string; if no URL is allowed or none is blocked the
@@ -50,14 +51,14 @@ def _lower(c: Column) -> Column:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """``pages`` with host, path and the characters that the models read (``chars``)."""
+    """``pages`` with host, path, the characters that the models read (``chars``) and their digest (``url_key``)."""
     at = F.coalesce(F.locate("://", F.col("url")), F.lit(0))
     rest = F.when(at > 0, F.expr("substring(url, locate('://', url) + 3)")).otherwise(F.lit(""))
     out = pages.withColumn("_rest", rest)
     raw = F.regexp_extract("_rest", "^[^/?#]*", 0)
     out = out.withColumn("host", _lower(raw))
     out = out.withColumn("path", F.regexp_extract(F.expr("substring(_rest, length(host) + 1)"), "^[^?#]*", 0))
-    return out.withColumn("chars", _lower(F.regexp_extract("_rest", "^[^#]*", 0))).drop("_rest")
+    return out.withColumn("chars", _lower(F.regexp_extract("_rest", "^[^#]*", 0))).withColumn("url_key", F.unhex(F.md5("chars"))).drop("_rest")
 
 
 def with_rules(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -119,19 +120,19 @@ def calibrated(held: DataFrame) -> float:
 
 def judge(pages: DataFrame, *, rules=RULES, order: int = ORDER) -> DataFrame:
     """page_id, host, path, rule, verdict, score (null where a rule decides) for every row of ``pages`` (page_id, url)."""
-    # one number per distinct string that the models read: copies and hot URLs are scored once
+    # one score per distinct string that the models read: copies and hot URLs are scored once
     all_ = with_rules(parsed(pages.select("page_id", "url")), rules)
-    ruled = all_.where("action is not null").select("chars", "action", F.expr(HELD_BACK).alias("held"))
+    ruled = all_.where("action is not null").select("chars", "url_key", "action", F.expr(HELD_BACK).alias("held"))
     free = all_.where("action is null")
     judged = ruled.select("chars", "action", (~F.col("held")).alias("counted")).unionByName(free.select("chars", F.lit(None).cast("string").alias("action"), F.lit(False).alias("counted")))
     ratios = materialise(model(judged, order), "url-model")
-    known = ruled.where("held").groupBy("chars", "action").agg(F.count(F.lit(1)).alias("n"))
-    wanted = known.select("chars").union(free.select("chars")).distinct()
-    scores = materialise(scored(wanted, ratios, ["chars"], order), "url-scores")
-    held = known.join(scores, "chars")
+    known = ruled.where("held").select("url_key", "action").distinct()
+    wanted = ruled.where("held").select("url_key", "chars").union(free.select("url_key", "chars")).groupBy("url_key").agg(F.min("chars").alias("chars"))
+    scores = materialise(scored(wanted, ratios, ["url_key"], order), "url-scores")
+    held = known.join(scores, "url_key")
     cut = calibrated(held)
     seen = all_.where("action is not null").select("page_id", "host", "path", "rule", F.col("action").alias("verdict"), F.lit(None).cast("double").alias("score"))
-    rest = free.join(scores, "chars", "left").select("page_id", "host", "path", "rule", F.when(F.coalesce("score", F.lit(0.0)) >= cut, "allow").otherwise("block").alias("verdict"), "score")
+    rest = free.join(scores, "url_key", "left").select("page_id", "host", "path", "rule", F.when(F.coalesce("score", F.lit(0.0)) >= cut, "allow").otherwise("block").alias("verdict"), "score")
     return seen.unionByName(rest)
 
 

@@ -12,8 +12,9 @@ with a larger ``page_id`` is a ``revisit`` of the largest one: it holds the HTTP
 header only.  Digests are computed in the first pass, combined per payload
 before the shuffle, and joined back as small rows; payloads are moved once, by
 ``page_id``.  Packages hold about ``target`` bytes; a longer record has one of its
-own.  File names follow from the partition and its order, so a task that runs
-again replaces its own files.
+own.  File names hold the partition and the task attempt, so an attempt that runs
+again or beside another never touches the other's files; the manifest names only
+those of the attempt whose result Spark took.
 
 Defined cases: null html is an empty payload; a null ``page_id`` is always a
 response; rows with the same ``page_id`` and payload are each a response if no
@@ -185,14 +186,14 @@ def write_packages(pages: DataFrame, folder: str, *, least_bytes: int = 0, targe
     small_batches(pages.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, done = TaskContext.get().partitionId(), 0
+        task, done = TaskContext.get(), 0
         records: list[bytes] = []
         index: list[bytes] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal records, index, size, done
-            name = f"part-{part:06d}-{done:05d}.wacz"
+            name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{done:05d}.wacz"
             parts = zip_package([(DATA, records), (INDEX, index)], zip64=zip64)
             put_file(f"{folder}/{name}", parts)
             out = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(records)], pa.int64()), pa.array([sum(map(len, parts))], pa.int64())], names=["package", "n_records", "n_bytes"])
