@@ -395,14 +395,14 @@ def keep_one(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
     counts = docs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.col("doc_id").cast("long")).alias("ids")).first()
     if counts.n == counts.ids:
         gone = components(docs, width=width).where("doc_id <> component_id").select("doc_id")
-        return docs.join(gone.withColumnRenamed("doc_id", "gone_"), F.col("doc_id").cast("long") == F.col("gone_"), "left_anti")
-    rows = materialise(docs.withColumn("row_", F.monotonically_increasing_id()), "jaccard-rows")
-    found = components(rows.select(F.col("row_").alias("doc_id"), "text"), width=width).select(F.col("doc_id").alias("row_"), "component_id", F.col("n_shingles").alias("size_"))
-    found = found.where("size_ > 0").join(rows.select("row_", F.col("doc_id").cast("long").alias("id_")), "row_")
+        return docs.join(gone.withColumnRenamed("doc_id", "jaccard_gone_"), F.col("doc_id").cast("long") == F.col("jaccard_gone_"), "left_anti")
+    rows = materialise(docs.withColumn("jaccard_row_", F.monotonically_increasing_id()), "jaccard-rows")
+    found = components(rows.select(F.col("jaccard_row_").alias("doc_id"), "text"), width=width).select(F.col("doc_id").alias("jaccard_row_"), "component_id", F.col("n_shingles").alias("size_"))
+    found = found.where("size_ > 0").join(rows.select("jaccard_row_", F.col("doc_id").cast("long").alias("id_")), "jaccard_row_")
     found = materialise(found, "jaccard-found")
-    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("id_").isNull().alias("none"), "id_", "row_")).alias("best"))
-    gone = found.join(best, "component_id").where("row_ <> best.row_").select("row_")
-    return rows.join(gone, "row_", "left_anti").select(*docs.columns)
+    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("id_").isNull().alias("none"), "id_", "jaccard_row_")).alias("best"))
+    gone = found.join(best, "component_id").where("jaccard_row_ <> best.jaccard_row_").select("jaccard_row_")
+    return rows.join(gone, "jaccard_row_", "left_anti").select(*docs.columns)
 
 
 def op2_fragment_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,15 +8,17 @@ Layout below one folder, one group of files per range of ``doc_id``:
 * ``shard-NNNNNN.doc``: ``n`` little-endian ``int64`` document ids, then ``n`` bytes that are 1 where the id is not null.
 
 Texts are dealt by ranges of ``doc_id`` (the only shuffle), sorted within each
-range, encoded and appended.  The number of ids in each shard makes the manifest;
-a prefix sum over it gives each shard's base, and base + offset is a document's
-place among all ids.  Reading maps the files into memory, or reads ranges of
-them where the store is not local.
+range, encoded and appended.  A shard holds about ``SHARD_BYTES`` of text.  Rows of
+one ``doc_id`` can part between ranges, at hashes of their texts and, for equal
+rows, at the partitions they came from, so that no id has to fit in one shard.  The
+number of ids in each shard makes the manifest; a prefix sum over it gives each
+shard's base, and base + offset is a document's place among all ids.  Reading maps
+the files into memory, or reads ranges of them where the store is not local.
 
 Defined cases: null or empty text holds the end id only; null ``doc_id`` sorts
-first; rows with the same ``doc_id`` stand side by side in the order of their
-text; an empty table gives no shard with documents and no rows; further columns
-are ignored.
+first; rows with the same ``doc_id`` stand side by side in the order of a hash of
+their text; an empty table gives no shard with documents and no rows; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ from featurescope.runtime import materialise, shared_path, shuffle_partitions
 from .common import RangeReader, StreamWriter, small_batches, table, utf8
 from .tokens import END_ID, encoder
 
+SHARD_BYTES = 256 << 20
+
 _MANIFEST = "shard int, n_docs long, n_ids long, width int"
 _ROWS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -43,7 +47,8 @@ def write_token_files(docs: DataFrame, folder: str, *, tokenizer: str | None = N
     """Write ``docs`` (doc_id, text) below ``folder``; returns the manifest: shard, n_docs, n_ids, width, base."""
     spark = docs.sparkSession
     small_batches(spark)
-    n = shards or shuffle_partitions(spark)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = shards or max(shuffle_partitions(spark), -(-size // SHARD_BYTES))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
@@ -72,8 +77,9 @@ def write_token_files(docs: DataFrame, folder: str, *, tokenizer: str | None = N
         n_docs = sum(map(len, ids))
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([n_docs], pa.int64()), pa.array([total], pa.int64()), pa.array([enc.dtype.itemsize], pa.int32())], names=["shard", "n_docs", "n_ids", "width"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_h", F.xxhash64("text")).withColumn("_p", F.spark_partition_id())
+    order = (F.col("doc_id").asc_nulls_first(), "_h", "_p")
+    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
     manifest = materialise(rows.mapInArrow(write, _MANIFEST), "token-manifest").orderBy("shard").collect()  # one row per shard
     base, out = 0, []
     for m in manifest:
