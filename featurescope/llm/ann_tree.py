@@ -10,12 +10,17 @@ nearest centre on top.
 
 How many leaves a query visits is calibrated: the exact neighbours of
 ``CALIBRATION`` queries (blocked products with all rows) tell which leaves had to
-be visited, and visits widen until the mean recall there is ``RECALL``.
-
-Queries and members meet by (leaf, member block, query block), cells of bounded
-size whatever the leaf's; each cell returns its nearest per query.  Of equal
-vectors only the ``k + 1`` smallest ids of a leaf can ever be returned, so only
-those are kept (the ranking's group limit does that before the shuffle).
+be visited, and visits widen until the mean recall there is ``RECALL``.  As many
+queries again check that number: ``info`` gets the recall they had.  A query goes
+on beyond that number until its leaves hold ``k + 1`` members.
+
+Neighbouring leaves share a cell of at most ``CELL_BYTES`` of members (a larger
+leaf is dealt over several); there are ``CELLS`` of them until the rows fill
+those.  A member moves once to its cell for every ``QUERY_BYTES`` of the queries
+that visit this cell, a query once to each cell that it visits, with the list of
+its leaves there; each cell returns its nearest per query.  Of equal vectors only
+the ``k + 1`` smallest ids of a leaf can ever be returned, so only those are kept
+(the ranking's group limit does that before the shuffle).
 
 Defined cases: vectors that are null, zero or hold null or non-finite components
 take no part, nor do rows with null ``vec_id`` or a length other than the most
@@ -44,8 +49,9 @@ SAMPLE = 20_000
 CALIBRATION = 160
 RECALL = 0.97
 BRANCH = 6
-MEMBER_BLOCK = 4096
-QUERY_BLOCK = 1024
+CELLS = 16
+CELL_BYTES = 32 << 20
+QUERY_BYTES = 16 << 20
 
 
 @dataclass
@@ -79,15 +85,16 @@ class Tree:
             live = live[[bool(self.children[n]) for n in node[live]]]
         return self.leaf[node]
 
-    def visits(self, x: np.ndarray, n: int) -> list[int]:
-        """The first ``n`` leaves of a best-bin-first walk."""
+    def visits(self, x: np.ndarray, n: int, sizes: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first ``n`` leaves of a best-bin-first walk; more, if these hold fewer than ``least`` members (``sizes`` by leaf)."""
         z = np.append(x, 0.0)
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < n:
+        queue, out, held = [(0.0, 0)], [], 0
+        while queue and (len(out) < n or sizes is not None and held < least):
             _, node = heapq.heappop(queue)
             kids = self.children[node]
             if not kids:
                 out.append(int(self.leaf[node]))
+                held += 0 if sizes is None else int(sizes[out[-1]])
                 continue
             d = ((self.centres[kids] - z) ** 2).sum(1)
             for c, v in zip(kids, d.tolist(), strict=True):
@@ -207,7 +214,7 @@ def search(rows: DataFrame, *, every: int = 20, k: int = K, recall: float = RECA
     queries = placed.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), "x").distinct()
 
     # calibration: exact neighbours of a few queries, and how far the walk must go for them
-    some = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(CALIBRATION).collect()
+    some = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(2 * CALIBRATION).collect()
     q_ids = np.array([r.query_id for r in some], np.int64)
     Q = np.frombuffer(b"".join(bytes(r.x) for r in some), "<f8").reshape(-1, dim)
 
@@ -219,40 +226,83 @@ def search(rows: DataFrame, *, every: int = 20, k: int = K, recall: float = RECA
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[qi]), pa.array(ids[xi]), pa.array(s), b.column(0).take(pa.array(xi))], names=["query_id", "vec_id", "score", "leaf"])
 
     truth = _topk(members.mapInArrow(exact, "query_id long, vec_id long, score double, leaf int"), k).select("query_id", "leaf").collect()
+    sizes = np.zeros(tree.n_leaves, np.int64)
+    for r in members.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect():  # one row per leaf
+        sizes[r.leaf] = r.n
     walk = {int(q): {leaf: i for i, leaf in enumerate(tree.visits(x, tree.n_leaves))} for q, x in zip(q_ids, Q, strict=True)}
-    depth = np.sort([walk[r.query_id][r.leaf] + 1 for r in truth])
+    fit = set(q_ids[:CALIBRATION].tolist())
+    depth = np.sort([walk[r.query_id][r.leaf] + 1 for r in truth if r.query_id in fit])
     visits = int(depth[max(0, int(np.ceil(recall * len(depth))) - 1)]) if len(depth) else tree.n_leaves
     if info is not None:
-        info |= {"leaves": tree.n_leaves, "visits": visits, "rows": n}
+        apart = [walk[r.query_id][r.leaf] < visits for r in truth if r.query_id not in fit]
+        info |= {"leaves": tree.n_leaves, "visits": visits, "rows": n, "recall_apart": float(np.mean(apart)) if apart else None}
+    first, parts = _cells(sizes, max(1, CELL_BYTES // (8 * dim)), -(-int(sizes.sum()) // CELLS))
+    plan = spark.sparkContext.broadcast((sizes, first, parts))  # three numbers per leaf
 
     def walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, first, parts = plan.value
+        for b in batches:
+            row, cell, leaves = [], [], []
+            for i, x in enumerate(_matrix(b.column(1), dim)):
+                at: dict[int, list[int]] = {}
+                for leaf in shared.value.visits(x, visits, held, k + 1):
+                    for c in range(first[leaf], first[leaf] + parts[leaf]):
+                        at.setdefault(int(c), []).append(leaf)
+                row += [i] * len(at)
+                cell += at
+                leaves += at.values()
+            row = pa.array(row, pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), b.column(0).take(row), b.column(1).take(row), pa.array(leaves, pa.list_(pa.int32()))], names=["cell", "query_id", "x", "leaves"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, first, parts = plan.value
         for b in batches:
-            found = [shared.value.visits(x, visits) for x in _matrix(b.column(1), dim)]
-            row = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-            yield pa.RecordBatch.from_arrays([pa.array([x for f in found for x in f], pa.int32()), b.column(0).take(row), b.column(1).take(row)], names=["leaf", "query_id", "x"])
-
-    asked = queries.mapInArrow(walks, "leaf int, query_id long, x binary")
-    # a leaf's cells: blocks of members by blocks of queries
-    n_members = members.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / MEMBER_BLOCK).cast("int").alias("mb"))
-    n_queries = queries.count()
-    cells = {r.leaf: r.mb for r in n_members.collect()}  # one row per leaf
-    qb = max(1, -(-n_queries // QUERY_BLOCK))
-    m_blocks = F.create_map(*[x for leaf, mb in sorted(cells.items()) for x in (F.lit(leaf), F.lit(mb))])
-    left = asked.where(F.col("leaf").isin(sorted(cells))).withColumn("mb", F.explode(F.sequence(F.lit(0), m_blocks[F.col("leaf")] - 1))).withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(qb)).cast("int"))
-    right = members.withColumn("mb", F.pmod(F.xxhash64("vec_id"), m_blocks[F.col("leaf")]).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
-
-    def cell(asked: pa.Table, own: pa.Table) -> pa.Table:
-        q, ids = asked.column("query_id").to_numpy(), own.column("vec_id").to_numpy()
-        out = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-        if len(q) and len(ids):
-            qi, xi, s = _best(q, _matrix(asked.column("x"), dim), ids, _matrix(own.column("x"), dim), k)
-            out = [q[qi], ids[xi], s]
-        return pa.table(out, names=["query_id", "vec_id", "score"])
-
-    keys = ("leaf", "mb", "qb")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, "query_id long, vec_id long, score double")
+            leaf = b.column(0).to_numpy()
+            spread = b.column(1).to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+            cell = first[leaf] + (spread % parts[leaf].astype(np.uint64)).astype(np.int64) if len(leaf) else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), *b.columns], names=["cell", "leaf", "vec_id", "x"])
+
+    asked = materialise(queries.mapInArrow(walks, "cell long, query_id long, x binary, leaves array<int>"), "ann-asked")
+    blocks = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / max(1, QUERY_BYTES // (8 * dim))).cast("int").alias("blocks"))
+    left = asked.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))
+    right = members.select("leaf", "vec_id", "x").mapInArrow(deal, "cell long, leaf int, vec_id long, x binary").join(blocks, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
+    def meet(asked: pa.Table, own: pa.Table) -> pa.Table:
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        if asked.num_rows and own.num_rows:
+            q, Q = asked.column("query_id").to_numpy(), _matrix(asked.column("x"), dim)
+            ids, M, leaf = own.column("vec_id").to_numpy(), _matrix(own.column("x"), dim), own.column("leaf").to_numpy()
+            lists = asked.column("leaves").combine_chunks()
+            who, which = np.repeat(np.arange(len(q)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+            for x in np.unique(which):
+                m, own_q = np.flatnonzero(leaf == x), who[which == x]
+                step = max(1, (4 << 20) // max(1, len(m)))
+                for a in range(0, len(own_q) if len(m) else 0, step):
+                    some = own_q[a : a + step]
+                    qi, xi, s = _best(q[some], Q[some], ids[m], M[m], k)
+                    out.append((q[some][qi], ids[m][xi], s))
+        return pa.table([np.concatenate(x) for x in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+
+    found = left.select("cell", "block", "query_id", "x", "leaves").groupBy("cell", "block").cogroup(right.select("cell", "block", "leaf", "vec_id", "x").groupBy("cell", "block")).applyInArrow(meet, "query_id long, vec_id long, score double")
     return _topk(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _cells(sizes: np.ndarray, most: int, wanted: int) -> tuple[np.ndarray, np.ndarray]:
+    """First cell and number of cells of each leaf: leaves in order share cells of about ``wanted`` members, at most ``most``; a larger leaf has cells of its own."""
+    room = max(1, min(most, wanted))
+    first, parts = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
+    cell, held = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if n > room:
+            cell += held > 0
+            first[i], parts[i] = cell, -(-n // room)
+            cell, held = cell + int(parts[i]), 0
+            continue
+        if held and held + n > room:
+            cell, held = cell + 1, 0
+        first[i], held = cell, held + n
+    return first, parts
+
+
 def op8_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"))
