@@ -9,7 +9,7 @@ from urllib.parse import unquote, urlparse
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,19 +35,35 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def md5_number(c: Column | str) -> Column:
+    """A number from 0 to 2^32 - 1 that any engine can derive: the first 8 hex digits of md5 of the value as text."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.conv(F.substring(F.md5(c.cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+
+
 def lowest_hashes(rows: DataFrame, key: str, n: int, row_id: str = "doc_id") -> DataFrame:
-    """The ``n`` rows of each value of ``key`` with the lowest hash of ``row_id``.
+    """The ``n`` rows of each value of ``key`` with the lowest ``md5_number`` of ``row_id``, ties to the smaller id.
 
     A cut on the hash, from the value's count, leaves few more than ``n`` before rows of one value meet in one task.
     """
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).collect()  # one row per value
-    cuts = [(r[key], min(1 << 30, int((1.3 * n + 50) / r.n * (1 << 30)) + 1)) for r in counts]
+    cuts = [(r[key], min(1 << 32, int((1.3 * n + 50) / r.n * (1 << 32)) + 1)) for r in counts]
     cuts = rows.sparkSession.createDataFrame(cuts, T.StructType([rows.schema[key], T.StructField("_cut", T.LongType())]))
-    few = rows.withColumn("_h", F.pmod(F.xxhash64(row_id), F.lit(1 << 30))).join(F.broadcast(cuts), key).where("_h < _cut")
+    few = rows.withColumn("_h", md5_number(row_id)).join(F.broadcast(cuts), key).where("_h < _cut")
     by = Window.partitionBy(key).orderBy("_h", row_id)
     return few.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= n).select(*rows.columns)
 
 
+def within_bytes(sizes: list[tuple], bound: int) -> set:
+    """The keys of (key, bytes), taken in order, whose running total stays within ``bound``; what would exceed it is passed over."""
+    out, held = set(), 0
+    for key, n in sizes:
+        if held + n <= bound:
+            out.add(key)
+            held += n
+    return out
+
+
 _HOLDER: list[dict] = []
 
 

@@ -7,8 +7,8 @@ tokens), boosted trees judge each by features of its form and of the words aroun
 it, and thresholds calibrated for each kind select what is added.  Of added spans
 that overlap, the one with the best score stays; none overlaps a base span.
 
-Training needs no labels.  From a bounded sample of documents (``SAMPLE``, by
-hash; whole texts) positives are base spans rewritten in the loose forms people
+Training needs no labels.  From a bounded sample of documents (``SAMPLE`` different
+rows by hash, ``SAMPLE_BYTES`` in all; whole texts) positives are base spans rewritten in the loose forms people
 use ((at), dot, spaced or missing marks) and generated secrets of 16 to 1448
 characters, each set in its own or another document's words; negatives are the
 generators' finds that touch no base span, and numbers of other kinds (versions,
@@ -18,8 +18,8 @@ that keeps ``PRECISION`` there.
 Defined cases: null text counts as empty and has no spans; positions are code
 points, end exclusive; every pattern runs in time linear in the text, also over
 very long runs of word characters or digits; an empty table trains on generated
-cases alone and gives no rows; further columns are ignored.  ``n_*`` count base
-spans.
+cases alone and gives no rows; further columns are ignored.  ``n_email`` to ``n_phone``
+count base spans, ``n_spans`` all.
 """
 
 from __future__ import annotations
@@ -35,11 +35,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, table
+from .common import small_batches, table, within_bytes
 
 KINDS = ("email", "ip", "card", "phone")
 ALL_KINDS = (*KINDS, "secret")
 SAMPLE = 3000
+SAMPLE_BYTES = 48 << 20
 PRECISION = 0.98
 Span = tuple[str, int, int]
 
@@ -102,14 +103,15 @@ def base_spans(text: str | None) -> list[Span]:
 _AT = r"\s?(?:@|\(at\)|\[at\]|\bat\b|\(a\))\s?"
 _DOT = r"\s?(?:\.|\(dot\)|\[dot\]|\bdot\b)\s?"
 _GENERATORS = {
-    "email": re.compile(rf"(?<![\w.%+-])[\w.%+-]{{1,64}}+{_AT}[\w-]{{1,63}}+(?:{_DOT}[\w-]{{2,63}}+){{1,4}}", re.I),
+    "email": re.compile(rf"(?<![\w.%+-])[\w.%+-]++{_AT}[\w-]++(?:{_DOT}[\w-]{{2,}}+)++", re.I),
     "ip": re.compile(r"(?<![\d.])\d{1,3}(?:\s?[.,]\s?|\s?(?:\[\.\]|\(dot\)|\[dot\])\s?)\d{1,3}(?:(?:\s?[.,]\s?|\s?(?:\[\.\]|\(dot\)|\[dot\])\s?)\d{1,3}){1,2}(?![\d])"),
     "card": re.compile(r"(?<!\d)\d{3,6}+(?:[ ._/-]?\d{2,6}+){2,5}(?!\d)"),
     "phone": re.compile(r"(?<![\w])(?:\+|00)?\(?\d{1,4}\)?(?:[ ./-]{0,2}\(?\d{2,5}\)?){1,5}(?!\w)"),
-    "secret": re.compile(r"(?<![\w+/=-])(?=[\w+/-]*[0-9])[A-Za-z0-9_+/-]{12,}+=*"),
+    "secret": re.compile(r"(?<![\w+/=-])[A-Za-z0-9_+/-]{12,}+(?:\.[A-Za-z0-9_+/-]{12,}+)*+=*"),
 }
 #: What every match of a generator holds: a digit, a mark that stands for @, or the word "at" before a dotted word.
-_TRIGGER = re.compile(rf"[\d@]|\(at\)|\[at\]|\(a\)|\bat\b\s?[\w-]{{1,63}}+{_DOT}[\w-]{{2}}", re.I)
+_TRIGGER = re.compile(rf"[\d@]|\(at\)|\[at\]|\(a\)|\bat\b\s?[\w-]++{_DOT}[\w-]{{2}}", re.I)
+_DIGIT = re.compile(r"[0-9]")
 _CUES = {
     "email": ("mail", "contact", "write", "@"),
     "ip": ("ip", "host", "addr", "server"),
@@ -124,7 +126,7 @@ def candidates(text: str | None) -> list[Span]:
     """What the generators propose; spans of different kinds may overlap."""
     if not text or not _TRIGGER.search(text):
         return []
-    return [(kind, m.start(), m.end()) for kind, g in _GENERATORS.items() for m in g.finditer(text)]
+    return [(kind, m.start(), m.end()) for kind, g in _GENERATORS.items() for m in g.finditer(text) if kind != "secret" or _DIGIT.search(text, *m.span())]
 
 
 def features(text: str, span: Span) -> list[float]:
@@ -270,6 +272,8 @@ def _generated(rng: np.random.Generator, kind: str, *, long: bool = False) -> st
     n = rng.integers(16, 49)
     if long:  # signatures, payloads and keys on one line
         chars, n = (*sets, sets[2] + "-_", sets[2] + "+/")[rng.integers(5)], int(2 ** rng.uniform(5.5, 10.5))
+        if chars == sets[2] + "-_" and rng.random() < 0.7:  # signed tokens: header, content and signature
+            return ".".join("".join(chars[i] for i in rng.integers(0, len(chars), k)) for k in (rng.integers(18, 60), max(12, n // 2), rng.integers(22, 90)))
     return "".join(chars[i] for i in rng.integers(0, len(chars), n))
 
 
@@ -404,12 +408,15 @@ def train(texts: list[str], *, per_kind: int = 400, seed: int = 11) -> PiiModel:
     return PiiModel(trees, thresholds)
 
 
-def learn(docs: DataFrame, *, sample: int = SAMPLE, seed: int = 11) -> PiiModel:
-    """Train on ``sample`` documents, chosen by hash."""
+def learn(docs: DataFrame, *, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, seed: int = 11) -> PiiModel:
+    """Train on ``sample`` different rows (doc_id, text), chosen by hash, of at most ``sample_bytes`` in all (what would exceed that is passed over)."""
     small_batches(docs.sparkSession)
-    ids = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]).collect()
-    return train([r.text or "" for r in sorted(rows, key=lambda r: r.doc_id)], seed=seed)
+    rows = docs.where("doc_id is not null").select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))
+    drawn = rows.select("h", F.octet_length("text").alias("n")).groupBy("h").agg(F.max("n").alias("n")).orderBy("h").limit(sample).collect()
+    keep = within_bytes([(r.h, r.n) for r in drawn], sample_bytes)
+    ids = docs.sparkSession.createDataFrame([(h,) for h in sorted(keep)], "h long")
+    got = rows.join(F.broadcast(ids), "h", "left_semi").groupBy("h").agg(F.min("text").alias("text")).collect()  # equal rows once
+    return train([r.text for r in sorted(got, key=lambda r: r.h)], seed=seed)
 
 
 def spans(text: str | None, model: PiiModel) -> tuple[list[Span], list[Span]]:
@@ -437,23 +444,24 @@ def _code(found: list[Span]) -> str:
 
 
 def find(docs: DataFrame, model: PiiModel) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, sha, every = [], [], []
+            n, sha, every, total = [], [], [], []
             for t in b.column(1).to_pylist():
                 base, found = spans(t, shared.value)
                 n.append([sum(s[0] == k for s in base) for k in KINDS])
                 sha.append(hashlib.sha256(_code(base).encode()).hexdigest())
                 every.append(_code(found))
+                total.append(len(found))
             counts = np.array(n, np.int64).reshape(-1, len(KINDS))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(counts[:, i]) for i in range(len(KINDS))), pa.array(sha, pa.string()), pa.array(every, pa.string())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(counts[:, i]) for i in range(len(KINDS))), pa.array(sha, pa.string()), pa.array(every, pa.string()), pa.array(total, pa.int64())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans"])
 
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, {counts}, base_sha256 string, spans string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, {counts}, base_sha256 string, spans string, n_spans long")
 
 
 def redact(docs: DataFrame, model: PiiModel) -> DataFrame:

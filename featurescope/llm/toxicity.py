@@ -7,9 +7,9 @@ and 3 slide over the whole text; each filter's largest value goes into a logisti
 layer.  Because a filter is linear before its maximum, the product of embeddings
 and filters is tabulated once per worker, and scoring a word is a few look-ups.
 
-Training takes a bounded sample of labelled rows (``per_class`` of each class, by
-hash; whole texts), splits a fifth of it off for calibration, fits by mini-batch
-Adagrad, then scales scores so that the threshold with the best F1 on the
+Training takes a bounded sample of labelled rows (``per_class`` of each class by
+hash, ``SAMPLE_BYTES`` in all; whole texts), splits a fifth of it off for calibration, fits by mini-batch
+Adagrad (one filter starts as the words' log odds in the sample, drawn to 0 for rare words), then scales scores so that the threshold with the best F1 on the
 calibration rows lies at 0.3.  Thresholds by language are calibrated on the same
 rows, drawn towards 0.3 where these are few; they serve decisions (``is_toxic``)
 and are no input of a score.  Only buckets seen in ``MIN_DOCS`` sampled documents
@@ -17,7 +17,7 @@ have an embedding; all others are zero and take no room.
 
 Defined cases: null or empty text is scored like a text without known words; a
 null ``doc_id`` is never held out and never learned from; several labels of one
-document count as their maximum; null labels are left out; without rows of both
+document count as their maximum, of several texts of one document one is learned from; null labels are left out; without rows of both
 classes every score is the share of toxic rows seen (0 if none), at most 0.29
 unless all are toxic; further columns are ignored.
 """
@@ -34,17 +34,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lowest_hashes, small_batches, sole, table, utf8
+from .common import lowest_hashes, small_batches, sole, table, utf8, within_bytes
 
 BUCKETS = 1 << 24
 DIM = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 START = 4
-MIN_DOCS = 8
+MIN_DOCS = 3
+SHRINK = 5.0
+START_SCALE = 0.5
 THRESHOLD = 0.3
 PRIOR = 100
 PER_CLASS = 2500
+SAMPLE_BYTES = 48 << 20
 _MARKS = b".,;:!?\"'()[]{}*"
 
 
@@ -147,6 +150,15 @@ def _best_threshold(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
     return float((z[k] + z[k + 1]) / 2) if k + 1 < len(z) else float(z[k] - 1)
 
 
+def _log_odds(texts: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
+    """Log odds of label 1 for each embedding row, from the documents it occurs in; drawn to 0 where these are few."""
+    n = np.zeros((2, size))
+    for x, label in zip(texts, y.tolist(), strict=True):
+        n[label, np.unique(x)] += 1
+    rate = (n + 0.5) / (np.bincount(y, minlength=2)[:, None] + 1)
+    return (np.log(rate[1] / rate[0]) * n.sum(0) / (n.sum(0) + SHRINK)).astype(np.float32)
+
+
 def train(texts: list[np.ndarray], y: np.ndarray, lang: list[str | None], *, share: float, epochs: int = 14, seed: int = 7) -> ToxicityModel:
     """Fit on the padded buckets of whole texts (``Words.of``); ``share`` is the share of label 1 among all labelled rows."""
     if len(set(y.tolist())) < 2:
@@ -162,11 +174,14 @@ def train(texts: list[np.ndarray], y: np.ndarray, lang: list[str | None], *, sha
     known = seen[(docs >= MIN_DOCS) & (seen > 0)]
     texts = [np.where(known[p] == t, p + 1, 0).astype(np.int32) if len(known) else np.zeros_like(t) for t in texts for p in (np.minimum(np.searchsorted(known, t), max(0, len(known) - 1)),)]
     E = rng.normal(0, 0.1, (len(known) + 1, DIM)).astype(np.float32)
+    E[:, 0] = START_SCALE * _log_odds([texts[i] for i in fit], y[fit], len(known) + 1)
     E[0] = 0
     W = [rng.normal(0, 0.4, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
     b = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
     v = rng.normal(0, 0.5, FILTERS * len(WIDTHS)).astype(np.float32)
-    c = 0.0
+    W[0][0, :, 0], v[0] = 0, 1  # one filter starts as the word's own log odds
+    W[0][0, 0, 0] = 1
+    c = -1.0
     gE, gW, gb, gv, gc = np.full_like(E, 1e-4), [np.full_like(x, 1e-4) for x in W], [np.full_like(x, 1e-4) for x in b], np.full_like(v, 1e-4), 1e-4
     rate, size = 0.1, 32
     for _ in range(epochs):
@@ -230,10 +245,10 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, seed: int = 7) -> ToxicityModel:
+def learn(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES, seed: int = 7) -> ToxicityModel:
     """Train on the labelled rows that are not held out."""
     small_batches(docs.sparkSession)
-    known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     known = known.where("y in (0, 1)")
     sample = lowest_hashes(known, "y", per_class)
     counts = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -245,8 +260,12 @@ def learn(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, see
                 parts = [p.tobytes() for p in np.split(x, start[1:], axis=1)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(parts, pa.large_binary() if sum(map(len, parts)) > 1 << 30 else pa.binary())], names=["doc_id", "y", "lang", "x"])
 
-    picked = docs.select("doc_id", "lang", "text").join(F.broadcast(sample), "doc_id")  # at most 2 * per_class rows
-    got = picked.select("doc_id", "y", "lang", "text").mapInArrow(rows, "doc_id long, y int, lang string, x binary").collect()
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", F.xxhash64("text").alias("h")).join(F.broadcast(sample), "doc_id")  # at most 2 * per_class documents
+    sizes = picked.groupBy("doc_id", "y").agg(F.min(F.struct("h", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))).alias("t")).collect()
+    sizes.sort(key=lambda r: (r.t.h, r.doc_id))
+    keep = [k for c in (0, 1) for k in sorted(within_bytes([((r.doc_id, r.t.h), r.t.n) for r in sizes if r.y == c], sample_bytes // 2))]
+    chosen = picked.join(F.broadcast(docs.sparkSession.createDataFrame(keep, "doc_id long, h long")), ["doc_id", "h"]).groupBy("doc_id", "y").agg(F.min("lang").alias("lang"), F.min("text").alias("text"))
+    got = chosen.mapInArrow(rows, "doc_id long, y int, lang string, x binary").collect()
     got.sort(key=lambda r: (r.doc_id, bytes(r.x)))
     y = np.array([r.y for r in got], np.int64)
     n = counts.get(0, 0) + counts.get(1, 0)
