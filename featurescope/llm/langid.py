@@ -127,3 +127,24 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
 def op5_rank_order_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, learn(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+# crc32 byte by byte; letters as code points; ranks of n-grams in languages and documents; out-of-place sums.
+_CRC = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0]::bigint[], lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)), 4294967295)"
+ORACLE_SQL = f"""
+with d as (select row_number() over () rid, doc_id::bigint doc_id, lang, text from documents),
+h as (select *, coalesce({_CRC} % 3 = 1, false) held_out from d),
+k as (select doc_id, row_number() over (partition by lang order by ('0x' || substr(md5(doc_id::varchar), 1, 8))::bigint, doc_id) r from h where doc_id is not null and text is not null and lang is not null and not held_out),
+w as (select *, trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}]+', ' ', 'g')) words, lang is not null and text is not null and doc_id in (select doc_id from k where r <= {PER_LANG}) learned from h),
+c as (select rid, lang, learned, list_transform(string_split(' ' || words || ' ', ''), lambda x: unicode(x)::bigint) c from w where words <> ''),
+i as (select rid, lang, learned, unnest(c) a, unnest(list_concat(c[2:], [null])) b, unnest(list_concat(c[3:], [null, null])) e from c),
+g as (select rid, lang, learned, a gram from i where a <> 32 union all select rid, lang, learned, (a << 21) | b from i where b is not null union all select rid, lang, learned, (((a << 21) | b) << 21) | e from i where e is not null and b <> 32),
+n as (select rid, lang, learned, gram, count(*) n from g group by all),
+p as (select * from (select rid, gram, row_number() over (partition by rid order by n desc, gram) - 1 place from n) where place < {DOCUMENT}),
+l as (select * from (select lang, gram, row_number() over (partition by lang order by sum(n) desc, gram) - 1 rank from n where learned group by lang, gram) where rank < {PROFILE}),
+names as (select distinct lang from l),
+s as (select p.rid, names.lang, sum(coalesce(abs(l.rank - p.place), {PROFILE}))::bigint s from p cross join names left join l on l.lang = names.lang and l.gram = p.gram group by all),
+o as (select *, row_number() over (partition by rid order by s, lang) r, lead(s) over (partition by rid order by s, lang) next from s),
+z as (select rid, lang, s, coalesce(next, {PROFILE} * (select count(*) from p where p.rid = o.rid)) runner from o where r = 1)
+select h.doc_id, h.held_out, coalesce(z.lang, 'und') lang_pred, case when z.lang is null or runner = 0 then 0.0::double else least(1.0, greatest(0.0, 1 - s::double / runner)) end score from h left join z using (rid)
+"""
