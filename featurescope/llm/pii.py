@@ -122,11 +122,16 @@ _CUES = {
 _OTHER = ("version", "page", "isbn", "no.", "vol", "license", "chapter", "figure", "$", "%", "©")
 
 
+def proposals(text: str) -> list[Span]:
+    """Every match of every generator; a secret holds a digit."""
+    return [(kind, m.start(), m.end()) for kind, g in _GENERATORS.items() for m in g.finditer(text) if kind != "secret" or _DIGIT.search(text, *m.span())]
+
+
 def candidates(text: str | None) -> list[Span]:
     """What the generators propose; spans of different kinds may overlap."""
     if not text or not _TRIGGER.search(text):
         return []
-    return [(kind, m.start(), m.end()) for kind, g in _GENERATORS.items() for m in g.finditer(text) if kind != "secret" or _DIGIT.search(text, *m.span())]
+    return proposals(text)
 
 
 def features(text: str, span: Span) -> list[float]:

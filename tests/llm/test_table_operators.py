@@ -78,6 +78,57 @@ def test_jaccard_near_copies_at_all_distances(spark):
     check_components(jaccard.components(df), rows)
 
 
+def brute_keep_one(rows):
+    """One row of each component of rows, of the smallest doc_id; rows with empty sets all stay."""
+    comp = brute_components([(i, r[1]) for i, r in enumerate(rows)])
+    best = {}
+    for i, r in enumerate(rows):
+        if shingle_set(r[1]):
+            best[comp[i]] = min(best.get(comp[i], (True, 0, i)) if comp[i] in best else (r[0] is None, r[0] or 0, i), (r[0] is None, r[0] or 0, i))
+    keep = {i for *_, i in best.values()}
+    return [r for i, r in enumerate(rows) if i in keep or not shingle_set(r[1])]
+
+
+def test_keep_one_judges_rows(spark):
+    same, other = "one text of more than five words stands here", "a second text that is like nothing else at all"
+    rows = [(1, same), (5, same), (5, other), (7, "seven words that repeat in two rows"), (7, "seven words that repeat in two rows"), (None, same), (None, "null id with a copy of its own text"), (None, "null id with a copy of its own text"), (9, ""), (9, None)]
+    got = jaccard.keep_one(spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id int, text string, jaccard_row_ long, gone_ long").repartition(3))
+    assert got.columns == ["doc_id", "text", "jaccard_row_", "gone_"]
+    same_rows([r[:2] for r in got.collect()], brute_keep_one(rows))
+
+
+def test_jaccard_links_are_all_links(spark, docs, texts):
+    sets = {}
+    for r in texts:
+        if r[0] is not None and shingle_set(r[1]):
+            sets.setdefault(shingle_set(r[1]), set()).add(r[0])
+    reps = sorted((min(v), s) for s, v in sets.items())
+    want = {(a, b) for k, (a, s) in enumerate(reps) for b, t in reps[k + 1 :] if 100 * len(s & t) >= 80 * len(s | t)}
+    pairs, members = jaccard.links(docs)
+    assert {(r.src, r.dst) for r in pairs.collect()} == want
+    near = defaultdict(set)
+    for a, b in want:
+        near[a].add(b)
+        near[b].add(a)
+    own = {min(v): len(v) for v in sets.values()}
+    got = members.collect()
+    assert len(got) == len(texts)
+    for r in got:
+        if r.rep is None:
+            assert r.n_links == 0
+        else:
+            assert r.n_links == own[r.rep] - 1 + sum(own[x] for x in near[r.rep])
+
+
+def test_jaccard_with_one_hot_shingle_and_joined_ids(spark, monkeypatch):
+    """A shingle that most documents share, and more ids than a table of bits holds."""
+    monkeypatch.setattr(jaccard, "_MOST_BITS", 64)
+    rng = random.Random(6)
+    rows = [(i, "hot words in every short text " + " ".join(f"v{rng.randint(0, 3000)}" for _ in range(rng.choice((0, 0, 1, 3, 20))))) for i in range(400)]
+    rows += [(400 + i, rows[i][1]) for i in range(0, 400, 7)]
+    check_components(jaccard.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)), rows)
+
+
 def test_jaccard_of_empty(empty):
     assert jaccard.components(empty).count() == 0
     assert jaccard.keep_one(empty).count() == 0
@@ -255,6 +306,39 @@ def test_nearest(spark):
     assert hit / sum(map(len, want.values())) >= 0.9
 
 
+def test_outliers_find_k_in_small_leaves(spark):
+    """Queries far from all others, whose first leaves hold next to nothing."""
+    rng = np.random.default_rng(3)
+    rows = [(i, (np.eye(8)[i % 5] + rng.normal(size=8) * 0.01).tolist()) for i in range(1, 900)]
+    rows = [(i, v) for i, v in rows if i % 20] + [(20 * j, (30 * (j + 1) * np.eye(8)[j % 8] * (-1) ** j).tolist()) for j in range(12)]
+    got = ann_tree.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).groupBy("query_id").count().collect()
+    assert len(got) == 12 and all(r["count"] == 20 for r in got)
+
+
+def test_cells_hold_every_leaf():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        sizes = rng.integers(0, rng.integers(2, 60), rng.integers(1, 40))
+        first, parts = ann_tree._cells(sizes, int(rng.integers(1, 50)), int(rng.integers(1, 80)))
+        assert (parts >= 1).all() and (np.diff(first) >= 0).all()
+        for i in np.flatnonzero(parts > 1):  # a leaf that is dealt over several cells shares none
+            mine = set(range(first[i], first[i] + parts[i]))
+            assert all(i == j or not (mine & set(range(first[j], first[j] + parts[j]))) or not sizes[j] for j in range(len(sizes)))
+
+
+def test_nearest_in_tiny_cells(spark, monkeypatch):
+    monkeypatch.setattr(ann_tree, "CELL_BYTES", 8 * 8 * 16)
+    monkeypatch.setattr(ann_tree, "QUERY_BYTES", 8 * 8 * 4)
+    rows = vectors(600, seed=2)
+    info = {}
+    got = ann_tree.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), recall=1.0, info=info).collect()
+    want = brute_nearest(rows)
+    own = defaultdict(set)
+    for r in got:
+        own[r.query_id].add(r.vec_id)
+    assert sum(len(own[q] & {i for i, _ in best}) for q, best in want.items()) / sum(map(len, want.values())) >= 0.95
+
+
 def test_nearest_few(spark):
     rows = vectors(30)
     got = ann_tree.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
@@ -285,8 +369,7 @@ def test_pipeline_stages(spark, docs, labels, texts, tmp_path):
     model = toxicity.learn(now, labels)
     good = [tuple(r) for r in toxicity.score(now, model).where(~toxicity.is_toxic(model)).select(*now.columns).collect()]
     same_rows(rows[1], good)
-    comp = brute_components([r[:2] for r in rows[1]])
-    same_rows(rows[2], [r for r in rows[1] if r[0] is None or comp[r[0]] == r[0]])
+    same_rows(rows[2], brute_keep_one(rows[1]))
     items = next(decontamination.item_blocks(bench))
     same_rows(rows[3], [r for r in rows[2] if not items.matches(decontamination.core_words((r[1] or "").encode()))])
     assert len(rows[3]) < len(rows[2]) < len(rows[1]) < len(rows[0])

@@ -1,6 +1,7 @@
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -250,7 +251,7 @@ def test_pii_long_secrets_go_to_their_end(docs, n):
 
 
 def test_pii_shortcut_loses_no_candidate():
-    every = lambda t: [(k, *m.span()) for k, g in pii._GENERATORS.items() for m in g.finditer(t)]
+    every = pii.proposals
     for t in ("write to jane at example.com today", "jane AT example dot com", "jane(a)example.com", "jane (A) example [dot] com", "call \u0661\u0662\u0663 \u0664\u0665\u0666\u0667 now"):
         assert every(t) and pii.candidates(t) == every(t), t
     assert not pii._TRIGGER.search("look at this, and not at that (dot)")  # still a shortcut
@@ -263,6 +264,54 @@ def test_pii_shortcut_loses_no_candidate():
     assert seen > 500
 
 
+def test_pii_long_addresses_and_signed_tokens():
+    model = pii.train(["plain words only here, nothing else to see in this text, not at all, as it is"] * 20)
+    name = "x" * 80 + ".y"
+    assert ("email", 6, 6 + len(name) + 17) in pii.candidates(f"write {name} (at) example.com now")
+    assert ("email", 0, 92) in pii.candidates("jane at " + "z" * 80 + ".com")
+    rng = random.Random(8)
+    part = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_") for _ in range(n))
+    covered = 0
+    for _ in range(40):
+        t = ".".join((part(36), part(rng.randint(60, 400)), part(43)))
+        covered += pii.redacted(f"the token is {t} and more", pii.spans(f"the token is {t} and more", model)[1]) == "the token is [SECRET] and more"
+    assert covered >= 38
+
+
+def test_pii_added_spans_on_held_out_text(texts):
+    """Precision and recall of what the trees add, on words and cases that they have not seen."""
+    own = [t for _, t in plain(texts) if 200 < len(t) < 5000]
+    model, unseen = pii.train(own[::2]), own[1::2]
+    rng = np.random.default_rng(99)
+    hit, want, false = Counter(), Counter(), 0
+    for i in range(600):
+        kind = pii.ALL_KINDS[i % 5]
+        strict = pii._generated(rng, kind, long=i % 2 == 1)
+        piece = strict if kind == "secret" else pii._loose(rng, kind, strict)
+        t = unseen[i % len(unseen)]
+        at = t.find(" ", len(t) // 2) + 1
+        before = set(pii.spans(t, model)[1])
+        false += sum(s not in pii.base_spans(t) for s in before)
+        text = f"{t[:at]}{piece} {t[at:]}"
+        found = [s for s in pii.spans(text, model)[1] if s[1] < at + len(piece) and at < s[2]]
+        want[kind] += 1
+        hit[kind] += any(s[1] <= at + 2 and s[2] >= at + len(piece) - 2 for s in found)
+    assert false == 0
+    assert all(hit[k] / want[k] >= (0.9 if k == "secret" else 0.6) for k in want), (hit, want)
+    assert sum(hit.values()) / sum(want.values()) >= 0.8
+
+
+def test_pii_sample_does_not_depend_on_row_order(spark):
+    rows = [(i % 20, f"words {i} and +1 415 555 {1000 + i} or 10.0.0.{i} " * 3) for i in range(120)] + [(7, "hot row")] * 200
+    import pickle
+
+    models = []
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        models.append(pickle.dumps(pii.learn(spark.createDataFrame(rows, "doc_id long, text string").repartition(seed + 2), sample=60)))
+    assert models[0] == models[1] == models[2]
+
+
 def test_pii_empty(empty):
     model = pii.learn(empty)
     assert pii.find(empty, model).count() == 0 and pii.redact(empty, model).count() == 0
