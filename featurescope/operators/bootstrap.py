@@ -8,10 +8,10 @@ are rows of a DataFrame, not driver loops.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cohort import draw, ranked
+from .cohort import ranked
 from .scoring import METRICS, scores
 
 LEAST = 50
@@ -24,7 +24,7 @@ def _uniform(*parts: Column) -> Column:
 def weights(df: DataFrame, repeats: int, seed: int = 0, *, strata: str | None = None, grouped: bool = False) -> DataFrame:
     """b, row_id, w: multiplicities of rows in ``repeats`` resamples.  ``strata``: resample within its values."""
     if grouped:
-        units = df.select("group_id").distinct().withColumn("rank", F.row_number().over(Window.orderBy(draw(seed, "group_id"), "group_id"))).withColumn("s", F.lit("all"))  # one row per group
+        units = ranked(df.select("group_id").distinct().withColumn("s", F.lit("all")), ["s"], seed, keys=("group_id",))
     else:
         units = ranked(df.select("row_id", (F.col(strata).cast("string") if strata else F.lit("all")).alias("s")), ["s"], seed)
     n = units.groupBy("s").agg(F.count(F.lit(1)).alias("n"))  # one row per stratum

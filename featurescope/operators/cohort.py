@@ -13,8 +13,6 @@ task.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +20,9 @@ from pyspark.sql import functions as F
 from featurescope.functions.arrays import finite
 
 USABLE_VARIANCE = 1e-12
+#: Groups that are dealt one by one on the driver; more are dealt by rank, where they are.
+DRIVER_GROUPS = 20_000
+ATTEMPTS = 32
 
 # ---------------------------------------------------------------- validation
 
@@ -201,28 +202,49 @@ def choose_groups(sizes: dict, states: dict, need: int, n: int, seed: int = 0) -
                 left[s] = max(0, left[s] - 1)
         if any(left.values()):
             continue
-        # which totals the remaining groups can reach, and by which last group
-        last: dict[int, tuple[int, object] | None] = {0: None}
-        for g in (g for g in groups if g not in chosen):
-            for t in sorted(last, reverse=True):
-                if t + sizes[g] <= room and t + sizes[g] not in last:
-                    last[t + sizes[g]] = (t, g)
-        t = max(last)
-        while last[t] is not None:
-            t, g = last[t]
-            chosen.add(g)
+        # bit t of a step: the groups up to here can fill t rows
+        rest, mask = [g for g in groups if g not in chosen], (1 << (room + 1)) - 1
+        steps = [1]
+        for g in rest:
+            steps.append((steps[-1] | steps[-1] << sizes[g]) & mask)
+        t = steps[-1].bit_length() - 1
+        for g, before in zip(reversed(rest), reversed(steps[:-1]), strict=True):
+            if not before >> t & 1:
+                chosen.add(g)
+                t -= sizes[g]
         rows = sum(sizes[g] for g in chosen)
         if best is None or rows > best[0]:
             best = rows, chosen
     return best[1] if best else None
 
 
-def group_sample(df: DataFrame, n: int, seed: int = 0, *, state: str | None = "label") -> DataFrame | None:
-    """Whole groups, at most ``n`` rows; each value of ``state`` (if given) keeps two groups."""
-    if state is not None and df.groupBy("group_id").count().agg(F.max("count")).first()[0] == 1:
+def label_side(labels: str = "labels") -> Column:
+    """Rows of ``label:value``, one for each label."""
+    return F.explode(F.transform(labels, lambda v, i: F.concat(i.cast("string"), F.lit(":"), v.cast("string"))))
+
+
+def _few_groups(groups: DataFrame, seed: int) -> DataFrame:
+    """Of more groups than the driver takes (group_id, n, states): those of the lowest draws, and 64 of each state."""
+    some = uniform_sample(groups.withColumn("row_id", F.col("group_id")), DRIVER_GROUPS // 2, seed).select("group_id")
+    each = ranked(groups.select("group_id", F.explode("states").alias("state")), ["state"], seed, keys=("group_id",)).where("rank <= 64").select("group_id")
+    return groups.join(some.union(each).distinct(), "group_id", "left_semi")
+
+
+def group_sample(df: DataFrame, n: int, seed: int = 0, *, state: Column | str | None = "label") -> DataFrame | None:
+    """Whole groups, at most ``n`` rows; each value of ``state`` (a column, or rows of ``label_side``; if given) keeps two groups.
+
+    The choice is made on the driver, among all groups or (see ``_few_groups``) about ``DRIVER_GROUPS`` of them.
+    """
+    if isinstance(state, str) and df.groupBy("group_id").count().agg(F.max("count")).first()[0] == 1:
         return stratified_sample(df, n, seed)
-    table = df.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), *([F.collect_set(state).alias("states")] if state else [])).collect()  # one row per group
-    chosen = choose_groups({r.group_id: r.n for r in table}, {r.group_id: set(r.states) if state else set() for r in table}, 2 if state else 0, n, seed)
+    groups = df.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
+    if state is not None:
+        each = df.select("group_id", (F.col(state) if isinstance(state, str) else state).alias("state")).groupBy("group_id").agg(F.collect_set("state").alias("states"))  # a group's states
+        groups = groups.join(each, "group_id")
+    else:
+        groups = groups.withColumn("states", F.array(F.lit("all")))
+    table = (_few_groups(groups, seed) if groups.count() > DRIVER_GROUPS else groups).collect()
+    chosen = choose_groups({r.group_id: r.n for r in table}, {r.group_id: set(r.states) if state is not None else set() for r in table}, 2 if state is not None else 0, n, seed)
     if not chosen or len(chosen) < 2:
         return None
     keep = df.sparkSession.createDataFrame([(g,) for g in sorted(chosen, key=str)], df.select("group_id").schema)
@@ -260,15 +282,16 @@ def row_folds(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
     return ranked(df.withColumn("_all", F.lit(0)), ["_all"], seed, name="_rank").withColumn("fold", F.pmod(F.col("_rank") - 1, F.lit(k)).cast("int")).drop("_rank", "_all")
 
 
-def deal_groups(table: dict, k: int, seed: int = 0) -> dict:
-    """group -> fold from {group: {state: rows}}: largest spread first, to the fold where the states' shares stay most even."""
+def deal_groups(table: dict, k: int, seed: int = 0, *, jitter: bool = False) -> dict:
+    """group -> fold from {group: {state: rows}}: largest spread first (``jitter``: up to a half more or less), to the fold where the states' shares stay most even."""
     states = sorted({s for row in table.values() for s in row}, key=str)
     M = {g: np.array([row.get(s, 0) for s in states], float) for g, row in table.items()}
     size = np.maximum(sum(M.values()), 1) if M else np.ones(len(states))
     tie = {g: hashlib.md5(f"{seed}:{g}".encode()).hexdigest() for g in M}
     folds = np.zeros((k, len(states)))
     out = {}
-    for g in sorted(M, key=lambda g: (-float(M[g].std()), -float(M[g].sum()), tie[g])):
+    weight = {g: 0.5 + int(tie[g][:8], 16) / (1 << 32) if jitter else 1.0 for g in M}
+    for g in sorted(M, key=lambda g: (-float(M[g].std()) * weight[g], -float(M[g].sum()), tie[g])):
         cost = []
         for f in range(k):
             folds[f] += M[g]
@@ -280,42 +303,118 @@ def deal_groups(table: dict, k: int, seed: int = 0) -> dict:
     return out
 
 
-def group_folds(df: DataFrame, k: int, seed: int = 0, *, states: Iterable[Column] | None = None) -> DataFrame | None:
-    """``df`` with ``fold``, groups undivided and each class on both sides of every fold; tries ``k`` down to 2, None if none will do."""
-    rows = df.select("group_id", *((F.col("label").cast("string").alias("state"),) if states is None else states)).groupBy("group_id", "state").agg(F.count(F.lit(1)).alias("n")).collect()  # groups x classes
+def _planned(df: DataFrame, plan: dict) -> DataFrame:
+    """``df`` with the fold that ``plan`` gives each group (at most ``DRIVER_GROUPS`` of them)."""
+    return df.join(F.broadcast(df.sparkSession.createDataFrame(list(plan.items()), df.select("group_id").schema.add("fold", "integer"))), "group_id")
+
+
+def _both_sides(folded: DataFrame, state: Column, k: int) -> bool:
+    """Whether each of ``k`` folds has rows, and each state occurs in it and outside of it."""
+    n = folded.select("fold", state.alias("state")).groupBy("fold", "state").count().groupBy("state").agg(F.count(F.lit(1)).alias("folds"))  # folds x states
+    r = n.agg(F.min("folds").alias("least"), F.max("folds").alias("most")).first()
+    return k >= 2 and r.least == r.most == k
+
+
+def group_folds(df: DataFrame, k: int, seed: int = 0, *, state: Column | None = None) -> DataFrame | None:
+    """``df`` with ``fold``, groups undivided and each class (or ``state``) in every fold and outside of it; tries ``k`` down to 2, None if none will do.
+
+    Up to ``DRIVER_GROUPS`` groups are dealt one by one for even shares; more are dealt in turn within their most frequent class.
+    """
+    own = F.col("label").cast("string") if state is None else state
+    counts = df.select("group_id", own.alias("state")).groupBy("group_id", "state").agg(F.count(F.lit(1)).alias("n"))
+    n_groups = df.select("group_id").distinct().count()
+    if n_groups > DRIVER_GROUPS:
+        main = counts.groupBy("group_id").agg(F.max_by("state", F.struct("n", "state")).alias("main"))
+        for folds in range(k, 1, -1):
+            plan = ranked(main, ["main"], seed, name="_rank", keys=("group_id",)).select("group_id", F.pmod(F.col("_rank") - 1, F.lit(folds)).cast("int").alias("fold"))
+            out = df.join(plan, "group_id")
+            if _both_sides(out, own, folds):
+                return out
+        return None
     table: dict = {}
-    total: dict = {}
-    for r in rows:
+    for r in counts.collect():  # groups x classes
         table.setdefault(r.group_id, {})[r.state] = r.n
-        total[r.state] = total.get(r.state, 0) + 1
-    for folds in range(min(k, len(table)), 1, -1):
-        out = deal_groups(table, folds, seed)
-        ok = all(len({out[g] for g in table if s in table[g]}) >= 2 for s in total) and len(set(out.values())) == folds
-        each = all(any(out[g] == f for g in table) for f in range(folds))
-        if ok and each:
-            plan = df.sparkSession.createDataFrame([(g, f) for g, f in out.items()], df.select("group_id").schema.add("fold", "integer"))
-            return df.join(F.broadcast(plan), "group_id")
+    states = {x for row in table.values() for x in row}
+    for folds in range(min(k, n_groups), 1, -1):
+        for attempt in range(ATTEMPTS):
+            out = deal_groups(table, folds, seed + attempt, jitter=attempt > 0)
+            if all({out[g] for g in table if x in table[g]} == set(range(folds)) for x in states):
+                return _planned(df, out)
     return None
 
 
-def size_folds(df: DataFrame, k: int) -> DataFrame | None:
-    """``df`` with ``fold``: groups, largest first, to the fold with fewest rows (regression)."""
-    sizes = sorted(((r.n, str(r.group_id), r.group_id) for r in df.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).collect()), key=lambda x: (-x[0], x[1]))
-    k = min(k, len(sizes))
+def size_folds(df: DataFrame, k: int, seed: int = 0) -> DataFrame | None:
+    """``df`` with ``fold``: groups, largest first, to the fold with fewest rows (regression); very many are dealt in turn within powers of 2 of their size."""
+    sizes = df.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
+    n_groups = sizes.count()
+    k = min(k, n_groups)
     if k < 2:
         return None
-    load, out = [0] * k, []
-    for n, _, g in sizes:
+    if n_groups > DRIVER_GROUPS:
+        plan = ranked(sizes.withColumn("_size", F.floor(F.log2("n"))), ["_size"], seed, name="_rank", keys=("group_id",))
+        return df.join(plan.select("group_id", F.pmod(F.col("_rank") - 1, F.lit(k)).cast("int").alias("fold")), "group_id")
+    load, out = [0] * k, {}
+    for n, _, g in sorted(((r.n, str(r.group_id), r.group_id) for r in sizes.collect()), key=lambda x: (-x[0], x[1])):
         f = load.index(min(load))
         load[f] += n
-        out.append((g, f))
-    return df.join(F.broadcast(df.sparkSession.createDataFrame(out, df.select("group_id").schema.add("fold", "integer"))), "group_id")
+        out[g] = f
+    return _planned(df, out)
+
+
+def group_holdout(df: DataFrame, seed: int, share: float = 0.25) -> DataFrame | None:
+    """``df`` with ``held``: a quarter of the groups (at least one, not all), by draw; None with fewer than two groups."""
+    groups = df.select("group_id").distinct().withColumn("_all", F.lit(0))
+    n = groups.count()
+    if n < 2:
+        return None
+    most = min(n - 1, int(np.ceil(share * n)))
+    plan = ranked(groups, ["_all"], seed, name="_rank", keys=("group_id",)).select("group_id", (F.col("_rank") <= most).alias("held"))
+    return df.join(plan, "group_id")
+
 
+def holdout_is_valid(df: DataFrame, state: Column) -> bool:
+    """Whether every state occurs among the ``held`` rows and among the others."""
+    sides = df.select("held", state.alias("state")).distinct().groupBy("state").count().agg(F.min("count").alias("least")).first()
+    return sides.least == 2
 
-def multilabel_folds(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """``df`` with ``fold``: rows dealt in turn within each combination of labels, rarest label first."""
-    key = F.concat_ws("", F.transform("labels", lambda v: v.cast("string")))
-    return stratified_folds(df.withColumn("_key", key), k, seed, by="_key").drop("_key")
+
+def deal_labels(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """``df`` with ``fold``: rows in the order of their rarest and second rarest label sides, dealt in turn from one end to the other.
+
+    A label side is (label, value).  Folds differ by one row at most, in all and within each rarest side.
+    """
+    sides = df.select(F.posexplode("labels").alias("i", "v")).groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    order = {(r.i, r.v): at for at, r in enumerate(sorted(sides.collect(), key=lambda r: (r.n, r.i, r.v)))}  # two rows per label
+    width = 1 + max((i for i, _ in order), default=0)
+    codes = F.lit([order.get((i, v), len(order)) for i in range(width) for v in (0, 1)])
+    own = F.array_sort(F.transform("labels", lambda v, i: F.element_at(codes, (2 * i + v + 1).cast("int"))))
+    rows = df.withColumn("_own", own)
+    rows = rows.withColumn("_first", F.col("_own")[0]).withColumn("_second", F.when(F.size("_own") > 1, F.col("_own")[1]).otherwise(0) if width <= 128 else F.lit(0)).drop("_own")
+    counts = rows.groupBy("_first", "_second").agg(F.count(F.lit(1)).alias("_n")).collect()  # pairs of sides
+    before, at = [], 0
+    for r in sorted(counts, key=lambda r: (r["_first"], r["_second"])):
+        before.append((r["_first"], r["_second"], at))
+        at += r["_n"]
+    before = df.sparkSession.createDataFrame(before, "_first int, _second int, _before long")
+    rows = ranked(rows, ["_first", "_second"], seed, name="_rank").join(F.broadcast(before), ["_first", "_second"])
+    return rows.withColumn("fold", F.pmod(F.col("_before") + F.col("_rank") - 1, F.lit(k)).cast("int")).drop("_first", "_second", "_before", "_rank")
+
+
+def multilabel_folds(df: DataFrame, k: int, seed: int = 0) -> DataFrame | None:
+    """``df`` with ``fold`` (see ``deal_labels``), each side of each label in every fold and outside of it.
+
+    ``ATTEMPTS`` draws are tried for ``k`` folds, then for fewer; None if none will do.
+    """
+    least = df.select(F.posexplode("labels").alias("i", "v")).groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    sides = least.groupBy("i").agg(F.count(F.lit(1)).alias("sides"), F.min("n").alias("n")).agg(F.min("sides").alias("sides"), F.min("n").alias("n")).first()
+    if sides.sides != 2:
+        return None
+    for folds in range(min(k, sides.n), 1, -1):
+        for attempt in range(ATTEMPTS):
+            out = deal_labels(df, folds, seed + attempt)
+            if _both_sides(out, label_side(), folds):
+                return out
+    return None
 
 
 def regression_fold_count(n: int, most: int) -> int:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featurescope.functions.arrays import hamming, jaccard, ones
@@ -39,9 +39,11 @@ def graph_components(df: DataFrame, edges: DataFrame) -> DataFrame:
 def fragmentation(components: DataFrame) -> DataFrame:
     """One row: component_count, largest_fraction, size_entropy, small_components (3 rows or fewer), fragmentation."""
     sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    p = F.col("n") / F.sum("n").over(Window.partitionBy())
-    s = sizes.withColumn("p", p)  # one row per component
-    out = s.agg(F.count(F.lit(1)).alias("component_count"), F.sum("n").alias("n_rows"), F.max("p").alias("largest_fraction"), (-F.sum(F.col("p") * F.log("p")) / F.greatest(F.log(F.greatest(F.lit(2), F.count(F.lit(1)))), F.lit(1e-9))).alias("size_entropy"), F.sum((F.col("n") <= 3).cast("long")).alias("small_components"))
+    n = F.col("n").cast("double")
+    s = sizes.agg(F.count(F.lit(1)).alias("component_count"), F.sum("n").alias("n_rows"), F.max("n").alias("most"), F.sum(n * F.log(n)).alias("nlogn"), F.sum((F.col("n") <= 3).cast("long")).alias("small_components"))
+    # -sum p ln p = ln N - sum n ln n / N
+    entropy = (F.log("n_rows") - F.col("nlogn") / F.col("n_rows")) / F.greatest(F.log(F.greatest(F.lit(2), F.col("component_count"))), F.lit(1e-9))
+    out = s.select("component_count", "n_rows", (F.col("most") / F.col("n_rows")).alias("largest_fraction"), F.greatest(F.lit(0.0), entropy).alias("size_entropy"), "small_components")
     scaled = F.least(F.lit(1.0), F.col("component_count") / F.greatest(F.lit(3.0), F.col("n_rows") / 20))
     mean = (1 - F.col("largest_fraction") + scaled + F.col("size_entropy")) / 3
     return out.withColumn("fragmentation", F.least(F.lit(1.0), F.greatest(F.lit(0.0), mean)))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from featurescope.runtime import materialise
 
 from .bootstrap import compared, lookup
-from .probes import PREDICTIONS, PROBES, ProbeSettings, balanced, out_of_fold, scaler
+from .probes import PREDICTIONS, PROBES, ProbeSettings, balanced, out_of_fold, quadratic_variant, scaler
 from .scoring import METRICS, scores
 
 NEED = {"singlelabel": 1, "multilabel": 2, "regression": 2}
@@ -71,6 +71,30 @@ def shapes(d: int, o: int, most: int) -> list[tuple[str, tuple[int, ...]]]:
     return [(n, h) for n, h in out if parameters(d, o, h) <= most]
 
 
+def validation_rows(Y: np.ndarray, mode: str, rng: np.random.Generator, groups: np.ndarray | None = None, *, share: float = 0.2, attempts: int = 32) -> np.ndarray:
+    """Rows to stop early on: about a fifth, whole groups if there are any, with every class (or side of every label) here and among the rest; none if that fails."""
+    n, none = len(Y), np.empty(0, np.int64)
+    if n < 8:
+        return none
+    sides = np.arange(int(Y[:, 0].max()) + 1)[None] == Y[:, :1] if mode == "singlelabel" else np.concatenate([Y == 1, Y == 0], 1) if mode == "multilabel" else np.ones((n, 1), bool)
+    sides = sides[:, sides.any(0)]
+    units = np.unique(groups) if groups is not None else None
+    if units is not None and len(units) < 2:
+        units = None
+    for _ in range(attempts):
+        if units is not None:
+            held = np.flatnonzero(np.isin(groups, rng.permutation(units)[: max(1, round(share * len(units)))]))
+        elif mode == "singlelabel":  # a fifth of each class
+            order = rng.permutation(n)
+            held = np.concatenate([own[: max(1, round(share * len(own)))] for c in np.unique(Y[:, 0]) for own in (order[Y[order, 0] == c],)])
+        else:
+            held = rng.permutation(n)[: max(1, int(share * n))]
+        rest = np.setdiff1d(np.arange(n), held)
+        if len(rest) and sides[held].any(0).all() and sides[rest].any(0).all():
+            return np.sort(held)
+    return none
+
+
 class Network:
     """ReLU layers trained by AdamW with warm-up, cosine decay, clipped gradients and early stopping."""
 
@@ -97,7 +121,7 @@ class Network:
             return float((c * (np.logaddexp(0, z) - T * z)).mean()), c * (p - T) / T.size
         return float(((z - T) ** 2).mean()), 2 * (z - T) / T.size
 
-    def fit(self, X: np.ndarray, Y: np.ndarray) -> Network:
+    def fit(self, X: np.ndarray, Y: np.ndarray, groups: np.ndarray | None = None) -> Network:
         rng = np.random.default_rng(self.seed)
         self.m, self.s = scaler(X)
         A = (X - self.m) / self.s
@@ -111,9 +135,8 @@ class Network:
         else:
             self.ym, self.ys = scaler(Y)
             T = (Y - self.ym) / self.ys
-        order = rng.permutation(len(A))
-        cut = len(A) // 5 if len(A) >= 8 else 0
-        held, own = order[:cut], order[cut:]
+        held = validation_rows(Y, self.mode, rng, groups)
+        own, cut = np.setdiff1d(np.arange(len(A)), held), len(held)
         sizes = (A.shape[1], *self.hidden, T.shape[1])
         self.layers = [[rng.normal(0, np.sqrt((2 if i < len(sizes) - 2 else 1) / a), (a, b)), np.zeros(b)] for i, (a, b) in enumerate(zip(sizes[:-1], sizes[1:], strict=True))]
         M, V, t = [[np.zeros_like(x) for x in y] for y in self.layers], [[np.zeros_like(x) for x in y] for y in self.layers], 0
@@ -157,7 +180,11 @@ class Network:
 
 
 def network_predictions(df: DataFrame, mode: str, own: list[tuple[str, tuple[int, ...]]], limits: dict, seed: int) -> DataFrame:
-    """Out-of-fold predictions of every shape, as ``probes.out_of_fold`` gives them."""
+    """Out-of-fold predictions of every shape, as ``probes.out_of_fold`` gives them.
+
+    A fit that fails or is not finite gives no predictions for its fold, so that its shape is incomplete and the others go on.
+    """
+    grouped = "group_id" in df.columns
     folds = [r.fold for r in df.select("fold").distinct().orderBy("fold").collect()]
     by_name = dict(own)
 
@@ -167,11 +194,18 @@ def network_predictions(df: DataFrame, mode: str, own: list[tuple[str, tuple[int
         X, Y = np.stack(pdf["features"].to_numpy()).astype(float), np.stack(pdf["y"].to_numpy()).astype(float)
         fold, ids = pdf["own_fold"].to_numpy(), pdf["row_id"].to_numpy()
         out = fold == held
-        net = Network(by_name[probe], mode, epochs=limits["epochs"], patience=limits["patience"], seed=seed).fit(X[~out], Y[~out])
-        return pd.DataFrame({"row_id": ids[out], "fold": fold[out].astype(np.int32), "probe": probe, "y": list(Y[out]), "prediction": list(net.predict(X[out]))})
+        groups = np.unique(pdf["group_id"].astype(str).to_numpy(), return_inverse=True)[1] if grouped else None
+        try:
+            net = Network(by_name[probe], mode, epochs=limits["epochs"], patience=limits["patience"], seed=seed).fit(X[~out], Y[~out], None if groups is None else groups[~out])
+            got = net.predict(X[out])
+        except (ArithmeticError, ValueError, np.linalg.LinAlgError):
+            got = np.full((int(out.sum()), 1), np.nan)
+        if not np.isfinite(got).all():
+            out, got = np.zeros(len(out), bool), got[:0]
+        return pd.DataFrame({"row_id": ids[out], "fold": fold[out].astype(np.int32), "probe": probe, "y": pd.Series(list(Y[out]), dtype=object), "prediction": pd.Series(list(got), dtype=object)})
 
     plan = F.explode(F.array(*(F.struct(F.lit(p).alias("probe"), F.lit(f).alias("held")) for p in by_name for f in folds)))
-    rows = df.select("row_id", "features", "y", F.col("fold").alias("own_fold"), plan.alias("cell")).select("*", "cell.probe", "cell.held").drop("cell")
+    rows = df.select("row_id", "features", "y", *(["group_id"] if grouped else []), F.col("fold").alias("own_fold"), plan.alias("cell")).select("*", "cell.probe", "cell.held").drop("cell")
     return rows.groupBy("probe", "held").applyInPandas(run, PREDICTIONS)
 
 
@@ -188,7 +222,16 @@ def override(folded: DataFrame, settings: ProbeSettings, limits: dict, *, parame
     own = shapes(d, o, parameters)
     if not own:
         return {"override": False, "reason": "every shape has too many parameters", "probes": {}}
-    pred = materialise(network_predictions(folded, mode, own, limits, settings.seed).unionByName(out_of_fold(folded, settings, PROBES)), "network-predictions")
+    n = folded.count()
+    simple = [p for p in PROBES if p != "smooth_poly" or quadratic_variant(n, d, settings.max_dense_mb)[0] != "skipped"]
+    pred = materialise(network_predictions(folded, mode, own, limits, settings.seed).unionByName(out_of_fold(folded, settings, simple)), "network-predictions")
+    whole = {r.probe for r in pred.groupBy("probe").count().where(F.col("count") == n).collect()}  # probes
+    broken = [x for x, _ in own if x not in whole]
+    own = [(x, h) for x, h in own if x in whole]
+    lost = [p for p in PROBES if p not in whole]
+    if not own or "dummy" in lost or len(lost) == len(PROBES):
+        return {"override": False, "reason": "no shape has predictions for every row" if not own else f"comparators are missing: {', '.join(lost)}", "probes": {}, "failed": broken, "missing_comparators": lost}
+    pred = pred.where(F.col("probe").isin(sorted(whole)))
     table = {r.probe: r.asDict() for r in scores(pred, mode, "probe").collect()}
     names = METRICS[mode]
     mean = lambda p: float(np.mean([table[p][m] if table[p][m] is not None else -np.inf for m in names]))
@@ -203,4 +246,4 @@ def override(folded: DataFrame, settings: ProbeSettings, limits: dict, *, parame
         a, b = lookup(pairs, best, "dummy", m), lookup(pairs, best, max(rest)[1], m)
         if a and b and a["point_delta"] > 0 and a["lower_95"] > 0 and b["point_delta"] >= least and b["lower_95"] > 0:
             won.append(m)
-    return {"override": len(won) >= NEED[mode], "best": best, "hidden": list(dict(own)[best]), "won_metrics": won, "probes": table, "reason": None if len(won) >= NEED[mode] else f"clear on {len(won)} of {NEED[mode]} metrics needed"}
+    return {"override": len(won) >= NEED[mode], "best": best, "hidden": list(dict(own)[best]), "won_metrics": won, "probes": table, "failed": broken, "missing_comparators": lost, "reason": None if len(won) >= NEED[mode] else f"clear on {len(won)} of {NEED[mode]} metrics needed"}

@@ -2,8 +2,10 @@
 
 ``neighbors`` cuts the rows into blocks and compares every query block with every
 member block in a cell of bounded size (a matrix product proposes, differences
-decide), so no task grows with the input and nothing is broadcast.  The work is
-quadratic; the budgets cap the rows, as the diagnosis needs only a sample.
+decide), so no task grows with the input and nothing is broadcast.  Blocks are as
+large as ``BLOCK_BYTES`` allows, because each row moves once for every block; below
+that size there are a few blocks, to keep all cores busy.  The work is quadratic;
+the budgets cap the rows, as the diagnosis needs only a sample.
 Distances are Euclidean on the features as they are; ties go to the smaller
 ``row_id``; a row is never its own neighbour, by id.
 """
@@ -19,7 +21,8 @@ from featurescope.functions.arrays import hamming, jaccard, label_entropy, ones,
 
 from .cohort import USABLE_VARIANCE
 
-BLOCK = 2048
+BLOCK_BYTES = 16 << 20
+LEAST_BLOCKS, LEAST_ROWS = 4, 512
 
 
 def default_k(n: int) -> int:
@@ -34,31 +37,40 @@ def _cell(k: int, other_group: bool):
         mat = lambda t: np.asarray(t.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False), float).reshape(t.num_rows, -1)
         ids = lambda t, c: t.column(c).to_numpy()
         Q, M, qi, mi = mat(q), mat(m), ids(q, "row_id"), ids(m, "row_id")
-        d2 = (Q**2).sum(1)[:, None] + (M**2).sum(1)[None] - 2 * Q @ M.T
-        mask = qi[:, None] == mi[None]
-        if other_group:
-            mask |= ids(q, "g")[:, None] == ids(m, "g")[None]
-        d2[mask] = np.inf
-        least = min(k, len(mi))
-        bound = np.partition(d2, least - 1, axis=1)[:, least - 1]
-        slack = 1e-9 * (1 + (Q**2).sum(1) + (M**2).sum(1).max())
-        at, to = np.nonzero((d2 <= (bound + slack)[:, None]) & np.isfinite(d2))
-        dist = np.sqrt(np.concatenate([((Q[at[i : i + 65536]] - M[to[i : i + 65536]]) ** 2).sum(1) for i in range(0, len(at), 65536)])) if len(at) else np.empty(0)
-        order = np.lexsort((mi[to], dist, at))
-        at, to, dist = at[order], to[order], dist[order]
-        keep = np.arange(len(at)) - np.searchsorted(at, at) < k
-        return pa.table({"row_id": qi[at[keep]], "neighbor_id": mi[to[keep]], "distance": dist[keep]})
+        qg, mg = ids(q, "g"), ids(m, "g")
+        m2, order_m = (M**2).sum(1), np.argsort(mi, kind="stable")
+        M, mi, mg, m2 = M[order_m], mi[order_m], mg[order_m], m2[order_m]
+        step, out = max(1, (4 << 20) // len(mi)), []
+        for a in range(0, len(qi), step):
+            P, own, group = Q[a : a + step], qi[a : a + step], qg[a : a + step]
+            p2 = (P**2).sum(1)
+            d2 = p2[:, None] + m2[None] - 2 * P @ M.T
+            mask = own[:, None] == mi[None]
+            if other_group:
+                mask |= group[:, None] == mg[None]
+            d2[mask] = np.inf
+            least = min(k, len(mi))
+            bound = np.partition(d2, least - 1, axis=1)[:, least - 1]
+            slack = 1e-9 * (1 + p2 + m2.max())
+            at, to = np.nonzero((d2 <= (bound + slack)[:, None]) & np.isfinite(d2))
+            dist = np.sqrt(np.concatenate([((P[at[i : i + 65536]] - M[to[i : i + 65536]]) ** 2).sum(1) for i in range(0, len(at), 65536)])) if len(at) else np.empty(0)
+            order = np.lexsort((to, dist, at))  # members ascend by id
+            at, to, dist = at[order], to[order], dist[order]
+            keep = np.arange(len(at)) - np.searchsorted(at, at) < k
+            out.append((own[at[keep]], mi[to[keep]], dist[keep]))
+        return pa.table([np.concatenate(x) for x in zip(*out, strict=True)], names=["row_id", "neighbor_id", "distance"])
 
     return run
 
 
-def neighbors(df: DataFrame, k: int, *, other: Column | None = None, block: int = BLOCK) -> DataFrame:
+def neighbors(df: DataFrame, k: int, *, other: Column | None = None, block: int | None = None) -> DataFrame:
     """row_id, neighbor_id, distance, rank of the ``k`` nearest rows; with ``other``, only rows where that (long) value differs.
 
     ``row_id`` must be a long.  Rows without any admissible neighbour do not occur.
     """
-    n = df.count()
-    blocks = max(1, -(-n // block))
+    n, width = df.agg(F.count(F.lit(1)), F.max(F.size("features"))).first()
+    most = block or max(256, BLOCK_BYTES // (8 * max(1, width or 1)))
+    blocks = max(1, -(-n // most), 0 if block else min(LEAST_BLOCKS, -(-n // LEAST_ROWS)))
     rows = df.select(F.col("row_id").cast("long").alias("row_id"), "features", (F.lit(0).cast("long") if other is None else other.cast("long")).alias("g"))
     rows = rows.withColumn("b", F.pmod(F.xxhash64("row_id"), F.lit(blocks)).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))

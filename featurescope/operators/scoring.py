@@ -50,10 +50,22 @@ def _f1(tp: Column, fp: Column, fn: Column) -> Column:
 
 
 def label_scores(counts: DataFrame) -> DataFrame:
-    """Per label: precision, recall, f1, balanced accuracy, prevalence."""
+    """Per label: precision, recall, f1, balanced accuracy, prevalence, positives, n."""
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
     div = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    return counts.select(*[c for c in counts.columns if c not in ("tp", "fp", "fn", "tn")], div(tp, tp + fp).alias("precision"), div(tp, tp + fn).alias("recall"), _f1(tp, fp, fn).alias("f1"), ((div(tp, tp + fn) + div(tn, tn + fp)) / 2).alias("balanced_accuracy"), ((tp + fn) / (tp + fp + fn + tn)).alias("prevalence"))
+    return counts.select(*[c for c in counts.columns if c not in ("tp", "fp", "fn", "tn")], div(tp, tp + fp).alias("precision"), div(tp, tp + fn).alias("recall"), _f1(tp, fp, fn).alias("f1"), ((div(tp, tp + fn) + div(tn, tn + fp)) / 2).alias("balanced_accuracy"), ((tp + fn) / (tp + fp + fn + tn)).alias("prevalence"), (tp + fn).alias("positives"), (tp + fp + fn + tn).alias("n"))
+
+
+def label_summary(labels: DataFrame, *by: str, rare: float = 0.05) -> DataFrame:
+    """by, mean, median and tenth percentile of the labels' f1 (``label_scores`` with ``positives`` and ``n``), and the mean of rare labels (null without any)."""
+    few = F.col("positives") <= F.greatest(F.lit(5), F.floor(F.col("n") * rare))
+    return labels.groupBy(*by).agg(
+        F.avg("f1").alias("per_label_f1_mean"),
+        F.expr("percentile(f1, 0.5)").alias("per_label_f1_median"),
+        F.expr("percentile(f1, 0.1)").alias("per_label_f1_p10"),
+        F.avg(F.when(few, F.col("f1"))).alias("rare_label_f1_mean"),
+        F.avg(F.when((F.col("positives") > 0) & (F.col("positives") < F.col("n")), F.col("balanced_accuracy"))).alias("label_balanced_accuracy_macro"),
+    )
 
 
 def multilabel_scores(p: DataFrame, *by: str, weight: str | None = None) -> DataFrame:
@@ -67,6 +79,14 @@ def multilabel_scores(p: DataFrame, *by: str, weight: str | None = None) -> Data
     return c.join(r, list(by))
 
 
+def target_scores(p: DataFrame, *by: str) -> DataFrame:
+    """by, target_idx, variance, r2, nrmse of each target; r2 and nrmse are null for constant targets and single rows."""
+    r = p.select(*by, F.posexplode(F.arrays_zip("y", "prediction")).alias("target_idx", "z")).select(*by, "target_idx", F.col("z.y").alias("y"), F.col("z.prediction").alias("q"))
+    t = r.groupBy(*by, "target_idx").agg(F.count(F.lit(1)).alias("n"), F.var_pop("y").alias("variance"), F.avg((F.col("y") - F.col("q")) ** 2).alias("mse"))
+    ok = (F.col("variance") > USABLE) & (F.col("n") >= 2)
+    return t.select(*by, "target_idx", "variance", F.when(ok, 1 - F.col("mse") / F.col("variance")).alias("r2"), F.when(ok, F.sqrt(F.col("mse") / F.col("variance"))).alias("nrmse"))
+
+
 def regression_scores(p: DataFrame, *by: str, weight: str | None = None) -> DataFrame:
     """by, r2_variance_weighted, r2_uniform_average over usable targets, mean nrmse; moments are centred on the cohort's means."""
     w = F.col(weight) if weight else F.lit(1.0)

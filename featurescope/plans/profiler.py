@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import time
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,17 +76,29 @@ class Profiler:
             return "singlelabel"
         raise ValueError("regression must be asked for by target_mode; otherwise label, or labels with two or more positions, is needed")
 
-    def fit(self, df: DataFrame) -> Profiler:
+    def fit(self, df: DataFrame, *, names: list[str] | None = None) -> Profiler:
+        """``names`` are those of the labels or targets; ``label_0``, ``target_0`` and so on without them."""
         began, ctx = time.time(), Context()
         mode = self.mode_of(df)
+        if mode == "multilabel" and self.config.multilabel_stratification == "iterative":
+            raise ValueError("iterative stratification needs an optional library that this engine does not use; take auto or heuristic")
+        if self.config.mlp_probes and self.config.mlp_device in ("cuda", "mps"):
+            ctx.warn(f"{self.config.mlp_device} was asked for, but networks run on the executors' CPUs")
+        if self.config.n_jobs is not None:
+            ctx.warn("n_jobs has no effect: Spark's executors set how much runs at once")
         grouped = "group_id" in df.columns
         target = {"singlelabel": "label", "multilabel": "labels", "regression": "targets"}[mode]
         df = df.select("row_id", F.col("features").cast("array<double>").alias("features"), target, *(["group_id"] if grouped else []))
         n, d = K.check_features(df)
         if df.where(F.col(target).isNull()).limit(1).count():
             raise ValueError("targets must not be null")
-        if grouped and df.where(F.col("group_id").isNull()).limit(1).count():
-            raise ValueError("group_id must not be null")
+        if grouped:
+            lacks = F.col("group_id").isNull()
+            if dict(df.dtypes)["group_id"] in ("double", "float"):
+                lacks = lacks | F.isnan("group_id")
+            if df.where(lacks).limit(1).count():
+                raise ValueError("group_id must not be null or NaN")
+        self._names = list(names or ())
         metrics, summary, usable = self._audit(df, mode, grouped, n, ctx)
         sampling: dict = {}
         grouping = _first(K.group_summary(df)) if grouped else {}
@@ -134,12 +147,16 @@ class Profiler:
                 ctx.warn("one label only; single-label mode may be meant")
             support = K.label_support(df).collect()  # one row per label
             keep = sorted(r.label_idx for r in support if r.usable)
+            self._name_all("label", len(support))
             audit["usable_labels"] = len(keep)
             if len(keep) < len(support):
                 ctx.skip("unusable_labels", f"{len(support) - len(keep)} labels lack support on one side", severity="caution")
-                if keep:
-                    df = df.withColumn("labels", F.array(*(F.col("labels")[i] for i in keep)))
-            return {"audit": audit | {"top_labels": [r.asDict() for r in A.top_labels(df).collect()]}}, {"labels": [r.asDict() for r in support]}, df
+            top = [r.asDict() | {"label": self._names[r.label_idx]} for r in A.top_labels(df).collect()]
+            summary = {"labels": [r.asDict() | {"label": self._names[r.label_idx]} for r in sorted(support, key=lambda r: r.label_idx)]}
+            if keep and len(keep) < len(support):
+                df = df.withColumn("labels", F.array(*(F.col("labels")[i] for i in keep)))
+                self._names = [self._names[i] for i in keep]
+            return {"audit": audit | {"top_labels": top}}, summary, df
         if n < 3:
             raise ValueError("regression needs three rows")
         if df.where(~F.coalesce(finite(F.col("targets").cast("array<double>")), F.lit(False))).limit(1).count():
@@ -152,16 +169,24 @@ class Profiler:
         audit["target_effective_rank"], audit["mean_abs_correlation"] = A.target_rank(pairs, len(support))
         if len(keep) < len(support):
             ctx.skip("constant_targets", f"{len(support) - len(keep)} targets are constant", severity="caution" if keep else "blocking")
-            if keep:
-                df = df.withColumn("targets", F.array(*(F.col("targets")[i] for i in keep)))
-        return {"audit": audit}, {"targets": [r.asDict() for r in support]}, df
+        self._name_all("target", len(support))
+        summary = {"targets": [r.asDict() | {"target": self._names[r.target_idx]} for r in sorted(support, key=lambda r: r.target_idx)]}
+        if keep and len(keep) < len(support):
+            df = df.withColumn("targets", F.array(*(F.col("targets")[i] for i in keep)))
+            self._names = [self._names[i] for i in keep]
+        return {"audit": audit}, summary, df
+
+    def _name_all(self, kind: str, n: int) -> None:
+        if self._names and len(self._names) != n:
+            raise ValueError(f"{len(self._names)} names were given for {n} {kind}s")
+        self._names = self._names or [f"{kind}_{i}" for i in range(n)]
 
     def _capped(self, df: DataFrame, mode: str, grouped: bool, n: int, cap: int) -> DataFrame | None:
         if n <= cap:
             return df
         seed = self.config.seed
         if grouped:
-            return K.group_sample(df, cap, seed, state="label" if mode == "singlelabel" else None)
+            return K.group_sample(df, cap, seed, state={"singlelabel": "label", "multilabel": K.label_side(), "regression": None}[mode])
         if mode == "singlelabel":
             return K.stratified_sample(df, cap, seed)
         return K.multilabel_sample(df, cap, seed) if mode == "multilabel" else K.uniform_sample(df, cap, seed)
@@ -187,16 +212,15 @@ class Profiler:
         most, seed = self.config.limits["folds"], self.config.seed
         if grouped:
             if mode == "regression":
-                return K.size_folds(df, most), "group_folds"
-            states = None if mode == "singlelabel" else (F.explode(F.transform("labels", lambda v, i: F.concat(i.cast("string"), F.lit(":"), v.cast("string")))).alias("state"),)
-            return K.group_folds(df, most, seed, states=states), "group_folds"
+                return K.size_folds(df, most, seed), "group_folds"
+            return K.group_folds(df, most, seed, state=None if mode == "singlelabel" else K.label_side()), "group_folds"
         if mode == "regression":
             k = K.regression_fold_count(n, most)
             return (K.row_folds(df, k, seed), "row_folds") if k else (None, "none")
         if mode == "singlelabel":
             k = K.fold_count(df.groupBy("label").count().agg(F.min("count")).first()[0], most)
             return (K.stratified_folds(df, k, seed), "stratified_folds") if k else (None, "none")
-        k = K.fold_count(K.label_support(df).agg(F.min(F.least("positives", "negatives"))).first()[0], most)
+        k = K.fold_count(K.label_support(df.drop("group_id")).agg(F.min(F.least("positives", "negatives"))).first()[0], most)
         return (K.multilabel_folds(df, k, seed), "multilabel_folds") if k else (None, "none")
 
     def _probes(self, df: DataFrame, mode: str, grouped: bool, d: int, metrics: dict, sampling: dict, ctx: Context) -> tuple[dict, list[dict] | None, DataFrame | None, int]:
@@ -233,6 +257,19 @@ class Profiler:
             for p in scored.values():
                 p["class_counts"] = counts
             conf.unpersist()
+        if mode == "multilabel":
+            labels = S.label_scores(S.label_counts(pred, "probe"))
+            for r in S.label_summary(labels, "probe").collect():
+                scored[r.probe]["per_label_summary"] = r.asDict()
+            for r in labels.orderBy("probe", "label_idx").collect():  # one row per probe and label
+                scored[r.probe].setdefault("per_label_metrics", []).append(r.asDict() | {"label": self._names[r.label_idx]})
+            for x in scored.values():
+                x["per_label_summary"].pop("probe")
+                ordered = sorted(x["per_label_metrics"], key=lambda r: (r["f1"], r["label_idx"]))
+                x["per_label_summary"] |= {"worst_labels": [r["label"] for r in ordered[:5]], "best_labels": [r["label"] for r in ordered[::-1][:5]]}
+        if mode == "regression":
+            for r in S.target_scores(pred, "probe").orderBy("probe", "target_idx").collect():  # one row per probe and target
+                scored[r.probe].setdefault("per_target_metrics", []).append(r.asDict() | {"target": self._names[r.target_idx]})
         if c.limits["repeats"]:
             self._stability(used, mode, grouped, settings, names, scored)
         for p in scored:
@@ -245,26 +282,39 @@ class Profiler:
         metrics["baseline"] = {m: max(((v[m], k) for k, v in scored.items() if (k != "dummy" or mode == "singlelabel") and v.get(m) is not None), default=None) for m in own}
         return scored, pairs, pred, m
 
+    def _held_out(self, used: DataFrame, mode: str, grouped: bool, seed: int) -> DataFrame | None:
+        """``used`` with a quarter of the rows (or groups) ``held``, by draw; None if a class or label side would be missing on either side."""
+        state = {"singlelabel": F.col("y")[0].cast("string"), "multilabel": K.label_side("y"), "regression": None}[mode]
+        if grouped:
+            one = K.group_holdout(used, seed)
+        elif mode == "multilabel":
+            one = K.deal_labels(used, 4, seed).withColumn("held", F.col("fold") == 0).drop("fold")
+        else:
+            by = F.lit("all") if state is None else state
+            one = K.stratified_folds(used.withColumn("_by", by), 4, seed, by="_by").withColumn("held", F.col("fold") == 0).drop("fold", "_by")
+        return one if one is None or state is None or K.holdout_is_valid(one, state) else None
+
     def _stability(self, used: DataFrame, mode: str, grouped: bool, settings, names: list[str], scored: dict) -> None:
-        """Spread of each score over repeated quarters held out: all repeats and probes are one job."""
-        repeats, parts = self.config.limits["repeats"], None
-        for r in range(repeats):
-            seed = self.config.seed + 1000 + r
-            if grouped:
-                one = K.size_folds(used.withColumn("group_id", F.concat(F.md5(F.concat(F.lit(f"{seed}:"), F.col("group_id").cast("string"))), F.lit(""))), 4)
-                if one is None:
-                    return
-                one = one.select("row_id", "features", "y", "fold")
-            else:
-                by = F.col("y")[0].cast("string") if mode == "singlelabel" else F.lit("all")
-                one = K.stratified_folds(used.withColumn("_by", by), 4, seed, by="_by").select("row_id", "features", "y", "fold")
-            one = one.withColumn("fold", F.when(F.col("fold") == 0, F.lit(r)).otherwise(F.lit(-1)))
-            own = P.out_of_fold(one, settings, names).where(F.col("fold") == r)
+        """Mean and spread of each score over repeated quarters held out, each fitted once: all repeats and probes are one job."""
+        repeats, parts, kept = self.config.limits["repeats"], None, 0
+        for attempt in range(4 * repeats):
+            one = self._held_out(used, mode, grouped, self.config.seed + 1000 + attempt)
+            if one is None:
+                continue
+            one = one.select("row_id", "features", "y", F.when(F.col("held"), kept).otherwise(-1).cast("int").alias("fold"))
+            own = P.out_of_fold(one, settings, names, only=[kept])
             parts = own if parts is None else parts.unionByName(own)
-        rows = S.scores(parts, mode, "probe", "fold")
+            kept += 1
+            if kept == repeats:
+                break
+        for x in scored.values():
+            x["stability_repeats"] = kept
+        if parts is None:
+            return
+        rows = materialise(S.scores(parts, mode, "probe", "fold"), "stability")
         for m in S.METRICS[mode]:
-            for x in rows.groupBy("probe").agg(F.stddev_pop(m).alias("s")).collect():
-                scored[x.probe][f"stability_{m}_std"] = x.s
+            for x in rows.groupBy("probe").agg(F.stddev_pop(m).alias("s"), F.avg(m).alias("m")).collect():
+                scored[x.probe] |= {f"stability_{m}_std": x.s, f"stability_{m}_mean": x.m}
 
     def _coded(self, df: DataFrame, mode: str) -> DataFrame:
         if mode == "singlelabel":
@@ -338,6 +388,8 @@ class Profiler:
         if size < 3:
             metrics["graph"] = {"component_count": 0, "largest_fraction": 1.0 if size else 0.0, "fragmentation": 0.0, "warning": "too few boundary rows for a graph"}
             metrics["topology"] = {"skipped": "too few boundary rows"}
+            if mode == "multilabel":
+                self._label_topology(used, hit, metrics, ctx)
             return
         cap = c.cap("boundary_rows")
         if size > cap:
@@ -355,20 +407,48 @@ class Profiler:
         else:
             graph |= _first(H.multilabel_edges(links, cloud)) | _first(H.multilabel_components(comp, cloud))
         metrics["graph"] = graph
-        self._topology(cloud, metrics, ctx, min(cap, T.MOST_ROWS))
+        if mode == "multilabel":
+            self._label_topology(used, hit, metrics, ctx)
+        else:
+            self._topology(cloud, metrics, ctx)
+
+    def _cloud(self, rows: DataFrame) -> np.ndarray:
+        """The features of at most the budget's and topology's number of rows, by draw."""
+        cap = min(self.config.cap("boundary_rows"), T.MOST_ROWS)
+        return np.array([r.features for r in K.uniform_sample(rows, cap, self.config.seed).select("features").collect()])
+
+    def _no_topology(self, why: str, ctx: Context) -> None:
+        asked = self.config.topology == "persistent"
+        ctx.skip("topology", why, severity="caution" if asked else None, status="skipped" if asked else "informational")
 
-    def _topology(self, cloud: DataFrame, metrics: dict, ctx: Context, cap: int) -> None:
+    def _topology(self, cloud: DataFrame, metrics: dict, ctx: Context) -> None:
         c = self.config
         why = T.gate(c.topology, c.budget, metrics["boundary"]["size"], (metrics.get("geometry") or {}).get("concentration", 1.0))
         if why:
             metrics["topology"] = {"skipped": why}
-            ctx.skip("topology", why, severity="caution" if c.topology == "persistent" else None, status="informational" if c.topology != "persistent" else "skipped")
+            self._no_topology(why, ctx)
             return
-        import numpy as np
+        metrics["topology"] = T.persistence_summary(self._cloud(cloud))
 
-        X = np.array([r.features for r in K.uniform_sample(cloud, cap, c.seed).select("features").collect()])  # at most cap rows
-        metrics["topology"] = T.persistence_summary(X) | {"skipped": "loops (dimension 1) need a reduction that is not built here"}
-        ctx.skip("topology_h1", metrics["topology"]["skipped"], severity="caution" if c.topology == "persistent" else None, status="informational" if c.topology != "persistent" else "skipped")
+    def _label_topology(self, used: DataFrame, hit: DataFrame, metrics: dict, ctx: Context) -> None:
+        """The boundary's cloud, and the positives' of the labels that are most frequent there."""
+        why = T.off(self.config.topology, self.config.budget)
+        if why:
+            metrics["topology"] = {"skipped": why}
+            self._no_topology(why, ctx)
+            return
+        near = used.join(hit.where("candidate").select("row_id"), "row_id", "left_semi")
+        counts = lambda df: {r.i: r.n for r in df.select(F.posexplode("labels").alias("i", "v")).groupBy("i").agg(F.sum("v").cast("long").alias("n")).collect()}
+        chosen, skipped = T.choose_labels(counts(used), counts(near))
+        objects, size = {}, metrics["boundary"]["size"]
+        objects["boundary"] = T.persistence_summary(self._cloud(near)) if size >= T.LEAST_ROWS else {"skipped": f"{size} boundary rows are fewer than {T.LEAST_ROWS}"}
+        if size < T.LEAST_ROWS:
+            self._no_topology(objects["boundary"]["skipped"], ctx)
+        labels = [T.persistence_summary(self._cloud(used.where(F.col("labels")[i] == 1))) | {"label_idx": i, "label": self._names[i]} for i in chosen]
+        strength = [x["strength"] for x in (objects["boundary"], *labels) if "strength" in x]
+        metrics["topology"] = objects | {"labels": labels, "skipped_labels": [x | {"label": self._names[x["label_idx"]]} for x in skipped], "strength": max(strength, default=0.0)}
+        if not strength:
+            metrics["topology"]["skipped"] = "no cloud is large enough"
 
     def _regression_topology(self, used: DataFrame, per: DataFrame, pred: DataFrame | None, metrics: dict, ctx: Context) -> None:
         c = self.config
@@ -381,9 +461,16 @@ class Profiler:
             sets["residual"] = T.hard_subset(T.residual_size(used, pred.where("probe = 'linear'")), "residual").select("row_id")
         for name, ids in sets.items():
             cloud = K.uniform_sample(used.join(ids, "row_id", "left_semi"), min(c.cap("boundary_rows"), T.MOST_ROWS), c.seed)
+            cloud = materialise(cloud, "hard-rows")
             size = cloud.count()
-            objects[name] = T.mutual_summary(materialise(cloud, "hard-rows")) if size >= T.LEAST_ROWS else {"skipped": f"{size} rows"}
-        metrics["topology"] = {"objects": objects, "strength": max((o.get("fragmentation", 0.0) for o in objects.values()), default=None)}
+            if size < T.LEAST_ROWS:
+                objects[name] = {"skipped": f"{size} rows"}
+                continue
+            own = T.mutual_summary(cloud)
+            if c.topology != "graph":
+                own["persistent"] = T.persistence_summary(self._cloud(cloud))
+            objects[name] = own | {"strength": max(own["fragmentation"], own.get("persistent", {}).get("strength", 0.0))}
+        metrics["topology"] = {"objects": objects, "strength": max((o["strength"] for o in objects.values() if "strength" in o), default=None)}
 
     def _mlp(self, df: DataFrame, mode: str, grouped: bool, d: int, probes: dict, metrics: dict, ctx: Context) -> None:
         c, limits = self.config, MLP_BUDGETS[self.config.budget]
@@ -415,19 +502,22 @@ _INTERPRETATIONS = {
 }
 
 
-def diagnose(df: DataFrame, *, row_id: str = "row_id", features: str = "features", target: str = "label", groups: str | None = None, return_report: bool = False, **settings):
+def diagnose(df: DataFrame, *, row_id: str = "row_id", features: str = "features", target: str | list[str] = "label", groups: str | None = None, names: list[str] | None = None, return_report: bool = False, **settings):
     """Diagnose ``df``; the recommendation as text, or the whole report.
 
     ``target`` names the label column (any atomic type), an array of 0/1 labels, or
-    (with ``target_mode='regression'``) a number or an array of numbers.
+    (with ``target_mode='regression'``) a number or an array of numbers.  A list of
+    columns stands for an array of them, and their names for ``names``.
     """
-    kind = dict(df.dtypes)[target]
-    mode = settings.get("target_mode", "auto")
-    if mode == "regression":
-        col = F.col(target) if kind.startswith("array") else F.array(F.col(target).cast("double"))
-        name = "targets"
+    regression = settings.get("target_mode", "auto") == "regression"
+    if isinstance(target, list):
+        col, name, names = F.array(*(F.col(c).cast("double" if regression else "int") for c in target)), "targets" if regression else "labels", names or target
     else:
-        col, name = F.col(target), "labels" if kind.startswith("array") else "label"
+        array = dict(df.dtypes)[target].startswith("array")
+        if regression:
+            col, name, names = F.col(target) if array else F.array(F.col(target).cast("double")), "targets", names or (None if array else [target])
+        else:
+            col, name = F.col(target), "labels" if array else "label"
     out = df.select(F.col(row_id).alias("row_id"), F.col(features).alias("features"), col.alias(name), *([F.col(groups).alias("group_id")] if groups else []))
-    p = Profiler(**settings).fit(out)
+    p = Profiler(**settings).fit(out, names=names)
     return p.report() if return_report else p.recommendation()

@@ -68,6 +68,9 @@ def hash_order(seed: int, col: str = "row_id") -> str:
     return f"md5('{seed}:' || {col})"
 
 
+LABELS2 = "e as (select doc_id row_id, quality, toxic from labels join documents using (doc_id))"
+
+
 # ---------------------------------------------------------------- validation, audits, groups
 
 
@@ -151,9 +154,9 @@ def whole_group_sample(spark, d):
     return K.group_sample(embeddings(spark, d), 260, 7).select("row_id", "group_id", "label")
 
 
-@query()
+@query(f"with {LABELS2}, s as (select row_id, 0 i, quality v from e union all select row_id, 1, toxic from e), r as (select row_id, row_number() over (partition by i, v order by {hash_order(7, 'row_id')}, row_id) k from s), m as (select row_id, min(k) first from r where k <= 2 group by row_id) select e.* from e left join m using (row_id) order by first nulls last, {hash_order(7, 'row_id')}, row_id limit 100")
 def multilabel_sample(spark, d):
-    return K.multilabel_sample(multilabel_documents(spark, d), 100, 7).select("row_id", "labels")
+    return K.multilabel_sample(multilabel_documents(spark, d), 100, 7).select("row_id", F.col("labels")[0].alias("quality"), F.col("labels")[1].alias("toxic"))
 
 
 @query(f"select vec_id row_id, ((row_number() over (partition by label order by {hash_order(42, 'vec_id')}, vec_id) - 1) % 5)::int fold from embeddings")
@@ -166,11 +169,16 @@ def fold_plan_regression(spark, d):
     return K.row_folds(orders(spark, d), 5, 42).select("row_id", "fold")
 
 
-@query(f"select doc_id row_id, ((row_number() over (partition by quality, toxic order by {hash_order(42, 'doc_id')}, doc_id) - 1) % 3)::int fold from labels join documents using (doc_id)")
+@query(f"with {LABELS2}, s as (select i, v, count(*) n from (select 0 i, quality v from e union all select 1, toxic from e) group by all), o as (select i, v, row_number() over (order by n, i, v) k from s), r as (select row_id, least(a.k, b.k) x, greatest(a.k, b.k) y from e join o a on a.i = 0 and a.v = quality join o b on b.i = 1 and b.v = toxic) select row_id, ((row_number() over (order by x, y, {hash_order(42, 'row_id')}, row_id) - 1) % 3)::int fold from r")
 def fold_plan_multilabel(spark, d):
     return K.multilabel_folds(multilabel_documents(spark, d), 3, 42).select("row_id", "fold")
 
 
+@query(f"with g as (select distinct vec_id % 20 group_id from embeddings), r as (select group_id, row_number() over (order by {hash_order(5, 'group_id')}, group_id) k, count(*) over () n from g) select vec_id row_id, k <= least(n - 1, ceil(0.25 * n)) held from embeddings join r on group_id = vec_id % 20")
+def group_holdout(spark, d):
+    return K.group_holdout(embeddings(spark, d), 5).select("row_id", "held")
+
+
 @query()
 def fold_plan_grouped(spark, d):
     return K.group_folds(embeddings(spark, d), 5, 42).select("row_id", "group_id", "fold")
@@ -344,9 +352,9 @@ def residual_size(spark, d):
 def topology_h0(spark, d):
     import numpy as np
 
-    X = np.array([r.features for r in K.uniform_sample(embeddings(spark, d), T.MOST_ROWS, 1).collect()])
+    X = np.array([r.features for r in K.uniform_sample(embeddings(spark, d), T.MOST_ROWS, 1).collect()])  # the operator's own cap
     s = T.persistence_summary(X)
-    return spark.createDataFrame([(s["h0_count"], round(s["h0_total"], 6), round(s["h0_entropy"], 6), round(s["scale"], 6))], "h0_count int, h0_total double, h0_entropy double, scale double")
+    return spark.createDataFrame([(s["h0_count"], round(s["h0_total"], 6), round(s["h0_entropy"], 6), s["h1_count"], round(s["h1_total"], 6), round(s["h1_longest"], 6), round(s["scale"], 6), round(s["strength"], 6))], "h0_count int, h0_total double, h0_entropy double, h1_count int, h1_total double, h1_longest double, scale double, strength double")
 
 
 # ---------------------------------------------------------------- probes and scores
@@ -395,11 +403,14 @@ def probe_rbf(spark, d):
     return _flat(P.out_of_fold(f, P.ProbeSettings("singlelabel", 15, 1), ("kernel_approx",)))
 
 
-@query()
+RIDGE = "o as (select *, (row_number() over (order by md5('42:' || row_id), row_id) - 1) % 5 fold from e), h as (select distinct fold held from o), t as (select held, f[1] a, f[2] b, y from h join o on fold <> held), m as (select held, avg(a) ma, coalesce(nullif(stddev_pop(a), 0), 1) sa, avg(b) mb, coalesce(nullif(stddev_pop(b), 0), 1) sb, avg(y) my from t group by held), z as (select held, (a - ma) / sa a, (b - mb) / sb b, y - my y from t join m using (held)), n as (select held, sum(a * a) + 1 aa, sum(a * b) ab, sum(b * b) + 1 bb, sum(a * y) ay, sum(b * y) yb from z group by held), w as (select held, (ay * bb - yb * ab) / (aa * bb - ab * ab) wa, (yb * aa - ay * ab) / (aa * bb - ab * ab) wb from n)"
+
+
+@query(f"with {PART}, {RIDGE} select row_id, fold::int fold, round(y, 4) y, round(my + (f[1] - ma) / sa * wa + (f[2] - mb) / sb * wb, 4) prediction from o join m on m.held = fold join w on w.held = fold")
 def probe_ridge(spark, d):
     f = materialise(K.row_folds(parts(spark, d), 5, 42).withColumn("y", F.col("targets")), "folded")
     p = P.out_of_fold(f, P.ProbeSettings("regression", 15, 1), ("linear",))
-    return rounded(p.select("row_id", "fold", F.col("y")[0].alias("y"), F.col("prediction")[0].alias("prediction")))
+    return p.select("row_id", "fold", F.round(F.col("y")[0], 4).alias("y"), F.round(F.col("prediction")[0], 4).alias("prediction"))
 
 
 def _copied(df: DataFrame, column: str) -> DataFrame:
@@ -431,11 +442,22 @@ def score_multilabel(spark, d):
     return rounded(S.multilabel_scores(_copied(multilabel_documents(spark, d), "labels"), "probe"))
 
 
-@query(f"with {ML}, {NN('1')}, {PAIR.format(c='labels')}, {LABEL_COUNTS} select label_idx::int label_idx, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) as \"precision\", round(coalesce(tp / nullif(tp + fn, 0), 0), 6) recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) f1, round((coalesce(tp / nullif(tp + fn, 0), 0) + coalesce(tn / nullif(tn + fp, 0), 0)) / 2, 6) balanced_accuracy, round((tp + fn) / (tp + fp + fn + tn), 6) prevalence from l")
+@query(f"with {ML}, {NN('1')}, {PAIR.format(c='labels')}, {LABEL_COUNTS} select label_idx::int label_idx, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) as \"precision\", round(coalesce(tp / nullif(tp + fn, 0), 0), 6) recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) f1, round((coalesce(tp / nullif(tp + fn, 0), 0) + coalesce(tn / nullif(tn + fp, 0), 0)) / 2, 6) balanced_accuracy, round((tp + fn) / (tp + fp + fn + tn), 6) prevalence, tp + fn positives, tp + fp + fn + tn n from l")
 def score_per_label(spark, d):
     return rounded(S.label_scores(S.label_counts(_copied(multilabel_documents(spark, d), "labels"))))
 
 
+@query(f"with {ML}, {NN('1')}, {PAIR.format(c='labels')}, {LABEL_COUNTS}, f as (select coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) f1, (coalesce(tp / nullif(tp + fn, 0), 0) + coalesce(tn / nullif(tn + fp, 0), 0)) / 2 bal, tp + fn pos, tp + fp + fn + tn n from l) select round(avg(f1), 6) per_label_f1_mean, round(quantile_cont(f1, 0.5), 6) per_label_f1_median, round(quantile_cont(f1, 0.1), 6) per_label_f1_p10, round(avg(case when pos <= greatest(5, floor(n * 0.05)) then f1 end), 6) rare_label_f1_mean, round(avg(case when pos > 0 and pos < n then bal end), 6) label_balanced_accuracy_macro from f")
+def score_label_summary(spark, d):
+    return rounded(S.label_summary(S.label_scores(S.label_counts(_copied(multilabel_documents(spark, d), "labels")))))
+
+
+@query(f"with {PART}, {NN('1')}, {PAIR.format(c='y')} select 0 target_idx, round(var_pop(y), 2) variance, round(1 - avg((y - q) ** 2) / var_pop(y), 6) r2, round(sqrt(avg((y - q) ** 2) / var_pop(y)), 6) nrmse from p")
+def score_per_target(spark, d):
+    r = S.target_scores(_copied(parts(spark, d), "targets"))
+    return r.select("target_idx", F.round("variance", 2).alias("variance"), F.round("r2", 6).alias("r2"), F.round("nrmse", 6).alias("nrmse"))
+
+
 @query(f"with {PART}, {NN('1')}, {PAIR.format(c='y')}, s as (select sum((y - q) ** 2) sse, sum((y - (select avg(y) from e)) ** 2) sst from p) select 'copy' probe, round(1 - sse / sst, 6) r2_variance_weighted, round(1 - sse / sst, 6) r2_uniform_average, round(sqrt(sse / sst), 6) nrmse from s")
 def score_regression(spark, d):
     return rounded(S.regression_scores(_copied(parts(spark, d), "targets"), "probe"))

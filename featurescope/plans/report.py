@@ -12,8 +12,8 @@ import numpy as np
 
 from featurescope import config as C
 
-# Row-level entries that the terse form leaves out.
-ROW_LEVEL = frozenset({"candidate_indices", "strong_candidate_indices", "sample_position_indices", "local_entropy", "local_ambiguity", "local_neighbor_jaccard", "local_neighbor_hamming_distance", "local_label_entropy", "local_cardinality_std", "local_target_distance", "local_normalized_target_distance", "row_indices", "predictions", "indices", "trigger_names_by_index", "candidate_trigger_counts"})
+# Long entries that the terse form leaves out, of those that the diagnosis makes.
+LONG = frozenset({"per_label_metrics", "per_target_metrics", "fold_assignments", "predictions"})
 
 HEADLINES = {
     C.LINEAR: "A linear model should do.",
@@ -42,7 +42,7 @@ def plain(x: Any, *, terse: bool = False) -> Any:
     if dataclasses.is_dataclass(x) and not isinstance(x, type):
         x = {f.name: getattr(x, f.name) for f in dataclasses.fields(x)}
     if isinstance(x, dict):
-        return {str(k): plain(v, terse=terse) for k, v in x.items() if not (terse and k in ROW_LEVEL)}
+        return {str(k): plain(v, terse=terse) for k, v in x.items() if not (terse and k in LONG)}
     if isinstance(x, (list, tuple, set, frozenset)):
         return [plain(v, terse=terse) for v in (sorted(x, key=str) if isinstance(x, (set, frozenset)) else x)]
     if isinstance(x, np.ndarray):
