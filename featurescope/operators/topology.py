@@ -16,7 +16,7 @@ from .graph import fragmentation, graph_components, mutual_graph
 from .neighbors import default_k
 
 LEAST_ROWS, MOST_ROWS, LEAST_CONCENTRATION = 30, 2000, 0.05
-LOOP_ROWS = 400
+LOOP_ROWS = 250
 MOST_LABELS, MOST_SKIPPED = 5, 50
 
 

@@ -269,7 +269,7 @@ class Profiler:
                 x["per_label_summary"] |= {"worst_labels": [r["label"] for r in ordered[:5]], "best_labels": [r["label"] for r in ordered[::-1][:5]]}
         if mode == "regression":
             for r in S.target_scores(pred, "probe").orderBy("probe", "target_idx").collect():  # one row per probe and target
-                scored[r.probe].setdefault("per_target_metrics", []).append(r.asDict() | {"target": self._names[r.target_idx]})
+                scored.get(r.probe, {}).setdefault("per_target_metrics", []).append(r.asDict() | {"target": self._names[r.target_idx]})
         if c.limits["repeats"]:
             self._stability(used, mode, grouped, settings, names, scored)
         for p in scored:

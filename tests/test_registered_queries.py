@@ -35,4 +35,6 @@ def test_query(spark, con, name):
     if name in registry.ORACLE_SQL:
         want = con.execute(registry.ORACLE_SQL[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
-        assert rows(got) == pytest.approx(rows(want), abs=2e-5) if len(got) == 1 else rows(got) == rows(want)
+        a, b = rows(got), rows(want)
+        assert len(a) == len(b)
+        assert all(x == y or isinstance(x, float) and isinstance(y, float) and abs(x - y) <= 2e-5 for r, q in zip(a, b, strict=True) for x, y in zip(r, q, strict=True))
