@@ -20,6 +20,7 @@ from .probes import PREDICTIONS, PROBES, ProbeSettings, balanced, out_of_fold, q
 from .scoring import METRICS, scores
 
 NEED = {"singlelabel": 1, "multilabel": 2, "regression": 2}
+WIDE, LONG_RUN = 1000, 5000
 
 
 def skill(lower: float | None, dummy_upper: float | None) -> float | None:
@@ -209,6 +210,18 @@ def network_predictions(df: DataFrame, mode: str, own: list[tuple[str, tuple[int
     return rows.groupBy("probe", "held").applyInPandas(run, PREDICTIONS)
 
 
+def runtime_warnings(d: int, own: list[tuple[str, tuple[int, ...]]], o: int, most: int, epochs: int, folds: int) -> list[str]:
+    """What may make the networks slow."""
+    out = []
+    if d >= WIDE:
+        out.append(f"networks on {d} features may be slow even on a capped cohort")
+    if any(parameters(d, o, h) >= most / 2 for _, h in own):
+        out.append("a network uses at least half of the allowed parameters")
+    if epochs * folds * len(own) >= LONG_RUN:
+        out.append(f"up to {epochs * folds * len(own)} epochs of training in all")
+    return out
+
+
 def override(folded: DataFrame, settings: ProbeSettings, limits: dict, *, parameters: int, least: float, grouped: bool = False) -> dict:
     """Scores of all shapes and of the simple probes on the same folds, and whether the best shape overrides.
 
@@ -246,4 +259,6 @@ def override(folded: DataFrame, settings: ProbeSettings, limits: dict, *, parame
         a, b = lookup(pairs, best, "dummy", m), lookup(pairs, best, max(rest)[1], m)
         if a and b and a["point_delta"] > 0 and a["lower_95"] > 0 and b["point_delta"] >= least and b["lower_95"] > 0:
             won.append(m)
-    return {"override": len(won) >= NEED[mode], "best": best, "hidden": list(dict(own)[best]), "won_metrics": won, "probes": table, "failed": broken, "missing_comparators": lost, "reason": None if len(won) >= NEED[mode] else f"clear on {len(won)} of {NEED[mode]} metrics needed"}
+    skills = {m: skill(table[best][m], table["dummy"][m]) for m in names}
+    warned = runtime_warnings(d, own, o, parameters, limits["epochs"], folded.select("fold").distinct().count())
+    return {"override": len(won) >= NEED[mode], "best": best, "skill": skills, "warnings": warned, "minimum_improvement": least, "required_metrics": NEED[mode], "hidden": list(dict(own)[best]), "won_metrics": won, "probes": table, "failed": broken, "missing_comparators": lost, "reason": None if len(won) >= NEED[mode] else f"clear on {len(won)} of {NEED[mode]} metrics needed"}

@@ -150,16 +150,28 @@ class Evidence:
             return won >= 1 and not self.clear_metrics(b, a)
         return won >= self.rules.need
 
+    def method(self, families: list[str]) -> str | None:
+        """How the families were compared: by pairs, by marginal errors, or both (``mixed``); None if nothing was."""
+        seen = set()
+        for m in self.rules.metrics:
+            known = [v for f in families if (v := self.views[f][m]).score is not None]
+            seen |= {"paired" if self.pair(a, b, m) is not None else "marginal" for i, a in enumerate(known) for b in known[i + 1 :]}
+        return "mixed" if len(seen) > 1 else next(iter(seen), None)
+
     def plausible(self, minimum: str | None, *, blocking: bool) -> dict:
-        """Families, from the minimum upwards, that no other of them clearly beats."""
-        if blocking or not self.signal:
-            return {"status": "not_applicable", "minimum": None, "plausible": [], "dominated_by": {}}
+        """Families, from the minimum upwards, that no other of them clearly beats; an assessment of each."""
         able = FAMILIES[FAMILIES.index(minimum) if minimum else 0 :]
+
+        def answer(status: str, reason: str | None, beaten: dict) -> dict:
+            own = {f: {"available": self.has(f), "eligible": status == "available" and f in able, "plausible": f in beaten and (f == minimum or not beaten[f]), "dominated_by": beaten.get(f, []), "worse_on": {o: self.clear_metrics(o, f) for o in beaten.get(f, [])}} for f in FAMILIES}
+            return {"status": status, "minimum": minimum if status != "not_applicable" else None, "plausible": [f for f in FAMILIES if own[f]["plausible"]], "dominated_by": beaten, "decision_method": self.method(list(able)) if beaten else None, "reason": reason, "assessments": own}
+
+        if blocking or not self.signal:
+            return answer("not_applicable", "the evidence is blocked" if blocking else "no probe clearly beats the dummy", {})
         missing = [f for f in able if not self.has(f)]
         if missing:
-            return {"status": "unavailable", "minimum": minimum, "plausible": [], "dominated_by": {}, "missing": missing}
-        beaten = {f: [o for o in able if o != f and self.dominates(o, f)] for f in able}
-        return {"status": "available", "minimum": minimum, "plausible": [f for f in able if f == minimum or not beaten[f]], "dominated_by": beaten}
+            return answer("unavailable", "no score", {}) | {"missing": missing}
+        return answer("available", None, {f: [o for o in able if o != f and self.dominates(o, f)] for f in able})
 
 
 def overlap_ratio(proportions: list[float], cross_share: float | None) -> float | None:

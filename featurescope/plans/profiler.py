@@ -11,6 +11,7 @@ from __future__ import annotations
 import time
 
 import numpy as np
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,11 +58,16 @@ def _first(df: DataFrame) -> dict:
 
 
 class Profiler:
-    """``fit`` a cohort (row_id, features, and label, labels or targets; group_id optional); then ``report`` and ``recommendation``."""
+    """``fit`` a cohort (row_id, features, and label, labels or targets; group_id optional); then ``report`` and ``recommendation``.
+
+    The report holds no rows.  ``tables`` has what stands behind it as DataFrames: ``predictions`` (out of fold),
+    ``folds``, ``neighbors`` (local measures of each row) and ``boundary``, as far as a run got.
+    """
 
     def __init__(self, config: Config | None = None, **settings):
         self.config = config or Config(**settings)
         self._report: Report | None = None
+        self.tables: dict[str, DataFrame] = {}
 
     def mode_of(self, df: DataFrame) -> str:
         mode = self.config.target_mode
@@ -98,8 +104,9 @@ class Profiler:
                 lacks = lacks | F.isnan("group_id")
             if df.where(lacks).limit(1).count():
                 raise ValueError("group_id must not be null or NaN")
-        self._names = list(names or ())
+        self._names, self.tables = list(names or ()), {}
         metrics, summary, usable = self._audit(df, mode, grouped, n, ctx)
+        metrics["audit"]["sparsity"] = A.sparsity(df).first()[0]
         sampling: dict = {}
         grouping = _first(K.group_summary(df)) if grouped else {}
         decision = self._measure(usable, mode, grouped, n, d, metrics, sampling, ctx)
@@ -226,6 +233,8 @@ class Profiler:
     def _probes(self, df: DataFrame, mode: str, grouped: bool, d: int, metrics: dict, sampling: dict, ctx: Context) -> tuple[dict, list[dict] | None, DataFrame | None, int]:
         c, n = self.config, df.count()
         cap = self._dense_cap(d, ctx, "probes", min(n, c.cap("probe_rows")))
+        if cap and mode == "multilabel":
+            cap = self._dense_cap(len(self._names), ctx, "multilabel_target", cap)
         used = self._capped(df, mode, grouped, n, cap) if cap else None
         if used is None:
             ctx.skip("probes", "no sample keeps every class", severity="blocking")
@@ -246,6 +255,7 @@ class Profiler:
             names.remove("smooth_poly")
             ctx.skip("smooth_poly", "the quadratic expansion does not fit in memory", severity="caution")
         pred = materialise(P.out_of_fold(folded, settings, names), "predictions")
+        self.tables |= {"folds": folded.select("row_id", "fold"), "predictions": pred}
         scored = {r.probe: r.asDict() for r in S.scores(pred, mode, "probe").collect()}
         if mode == "singlelabel":
             conf = S.confusion(pred, "probe").cache()
@@ -272,9 +282,11 @@ class Profiler:
                 scored.get(r.probe, {}).setdefault("per_target_metrics", []).append(r.asDict() | {"target": self._names[r.target_idx]})
         if c.limits["repeats"]:
             self._stability(used, mode, grouped, settings, names, scored)
+        train = _first(K.train_sizes(folded))
         for p in scored:
             scored[p]["probe_recipe"] = probe_recipe(p, mode, d, settings).to_dict()
-        metrics["probe_evaluation"] = {"method": method, "plan_id": K.plan_id(folded, method), "train_sizes": _first(K.train_sizes(folded))}
+            scored[p]["training_policy"] = P.training_policy(p, settings, int(train["median_train"]), d, c.random_state)
+        metrics["probe_evaluation"] = {"method": method, "plan_id": K.plan_id(folded, method), "train_sizes": train}
         pairs = compared(folded, pred, mode, c.limits["resamples"], c.seed, grouped=grouped)
         metrics["paired_probe_comparisons"] = {"status": "available" if pairs is not None else "unavailable", "pairs": pairs}
         metrics["probes"] = scored
@@ -362,6 +374,7 @@ class Profiler:
             z = N.standardised_targets(used)
             per = materialise(N.regression_rows(edges, z), "neighbor-rows")
             metrics["neighborhood"] = _first(N.regression_summary(per, z))
+            self.tables["neighbors"] = per
             metrics["graph"] = {"status": "not_applicable"}
             metrics["boundary"] = {"status": "not_applicable"}
             ctx.skip("boundary", "continuous targets have no class boundary", status="not_applicable")
@@ -380,6 +393,7 @@ class Profiler:
             metrics["neighborhood"] = _first(N.multilabel_summary(per))
             hit = B.multilabel_boundary(per, self._predictions(pred, mode))
         hit = materialise(hit, "boundary")
+        self.tables |= {"neighbors": per, "boundary": hit}
         cloud = used.join(hit.where("candidate").select("row_id"), "row_id", "left_semi")
         size = cloud.count()
         metrics["boundary"] = {"size": size, "candidate_fraction": size / max(1, rows)}
@@ -492,6 +506,10 @@ class Profiler:
         settings = P.ProbeSettings(mode, max(1, N.default_k(used.count())), c.seed, c.max_dense_mb)
         result = M.override(folded, settings, limits, parameters=c.mlp_max_parameters or limits["parameters"], least=c.mlp_min_improvement, grouped=grouped)
         metrics["mlp_probes"], metrics["mlp_override"] = result["probes"], result
+        for text in result.get("warnings", ()):
+            ctx.warn(text)
+        if result.get("failed"):
+            ctx.skip("mlp_probes", f"no predictions for every row: {', '.join(result['failed'])}", severity="caution")
 
 
 _SHARED = {"reliability": "Share of checks that passed."}
@@ -505,10 +523,12 @@ _INTERPRETATIONS = {
 def diagnose(df: DataFrame, *, row_id: str = "row_id", features: str = "features", target: str | list[str] = "label", groups: str | None = None, names: list[str] | None = None, return_report: bool = False, **settings):
     """Diagnose ``df``; the recommendation as text, or the whole report.
 
-    ``target`` names the label column (any atomic type), an array of 0/1 labels, or
+    ``features`` is an array of numbers or a vector column, sparse or dense.  ``target`` names the label column (any atomic type), an array of 0/1 labels, or
     (with ``target_mode='regression'``) a number or an array of numbers.  A list of
     columns stands for an array of them, and their names for ``names``.
     """
+    if dict(df.dtypes)[features] == "vector":  # sparse or dense
+        df = df.withColumn(features, vector_to_array(F.col(features)))
     regression = settings.get("target_mode", "auto") == "regression"
     if isinstance(target, list):
         col, name, names = F.array(*(F.col(c).cast("double" if regression else "int") for c in target)), "targets" if regression else "labels", names or target

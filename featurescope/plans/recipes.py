@@ -111,6 +111,24 @@ class Estimator:
         return fit_predict(self.recipe.probe, self.X, self.Y, np.arange(len(self.X)), X, s)
 
 
+def encode_estimator(estimator: Estimator) -> dict:
+    """A JSON-safe description of a probe, fitted or not (what it learned is left out); TypeError for anything else."""
+    if type(estimator) is not Estimator:
+        raise TypeError(f"{type(estimator).__name__} is no probe of this engine")
+    r = estimator.recipe
+    return {"kind": "estimator", "key": r.probe, "params": _safe({"target_mode": r.target_mode, **r.input_contract, **r.settings}), "recipe": r.to_dict()}
+
+
+def decode_estimator(spec: dict) -> Estimator:
+    """The unfitted probe that ``encode_estimator`` described; its parts must agree."""
+    if not isinstance(spec, dict) or spec.get("kind") != "estimator" or spec.get("key") not in ALLOWED:
+        raise ValueError("no description of a known probe")
+    out = Estimator(Recipe.from_dict(spec["recipe"]))
+    if encode_estimator(out) != {**spec}:
+        raise ValueError("the description contradicts its recipe")
+    return out
+
+
 def make_estimator(recipe: Recipe | dict | str, *, version_policy: str = "warn") -> Estimator:
     """The unfitted probe of a recipe; other library versions than its own warn, raise (``error``) or pass (``ignore``)."""
     if version_policy not in ("warn", "error", "ignore"):

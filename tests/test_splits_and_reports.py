@@ -169,6 +169,40 @@ def test_names_in_reports(spark):
         diagnose(df, target=["u", "v"], names=["x"], target_mode="regression", budget="fast")
 
 
+def test_vectors_tables_and_policies(spark):
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(11)
+    X = rng.normal(size=(120, 6)) * (rng.random((120, 6)) < 0.4)
+    y = (X.sum(1) > 0).astype(int)
+    sparse = spark.createDataFrame([(i, Vectors.sparse(6, {j: float(v) for j, v in enumerate(x) if v}), int(k)) for i, (x, k) in enumerate(zip(X, y, strict=True))], ["row_id", "features", "label"])
+    dense = spark.createDataFrame([(i, x.tolist(), int(k)) for i, (x, k) in enumerate(zip(X, y, strict=True))], "row_id long, features array<double>, label int")
+    a, b = (diagnose(d, return_report=True, budget="fast", random_state=0) for d in (sparse, dense))
+    assert a.scores == b.scores and a.metrics["audit"]["sparsity"] == pytest.approx((X == 0).mean())
+    policy = a.metrics["probes"]["smooth_poly"]["training_policy"]
+    assert policy["variant"] == "full" and policy["width"] == policy["full_expansion_features"] == 27 and policy["evaluation_deterministic"]
+    assert a.metrics["probes"]["knn"]["training_policy"]["neighbors_used"] == 10
+    p = Profiler(budget="fast", random_state=0).fit(dense)
+    assert p.tables["folds"].count() == 120 and p.tables["predictions"].groupBy("probe").count().where("count = 120").count() == 4
+    assert p.tables["neighbors"].count() == p.tables["boundary"].count() == 120
+    frontier = p.report().metrics["recommendation_evidence"]["plausible_family_set"]
+    assert set(frontier["assessments"]) == {"linear", "smooth_nonlinear", "local_kernel"} and frontier["decision_method"] in (None, "paired")
+
+
+def test_estimators_and_their_descriptions():
+    from featurescope.operators.probes import ProbeSettings
+    from featurescope.plans import recipes
+
+    e = recipes.make_estimator(recipes.probe_recipe("knn", "singlelabel", 2, ProbeSettings("singlelabel", 3, 1)))
+    spec = recipes.encode_estimator(e)
+    assert spec["key"] == "knn" and spec["params"]["k"] == 3 and recipes.decode_estimator(spec).recipe == e.recipe
+    with pytest.raises(TypeError):
+        recipes.encode_estimator("knn")
+    for broken in ({}, spec | {"key": "tree"}, spec | {"params": {}}):
+        with pytest.raises(ValueError):
+            recipes.decode_estimator(broken)
+
+
 def test_settings_that_cannot_be_met(spark):
     Y = (np.random.default_rng(1).random((40, 2)) < 0.5).astype(int)
     with pytest.raises(ValueError, match="iterative"):
