@@ -25,10 +25,10 @@ join documents that are connected already, so the components are exact.
 ``links`` leaves none out: it returns every link between different sets, and the
 members of each set with their number of links.
 
-Hot keys: equal sets are combined before the shuffle; what is known of a shingle
-(its first document, its components) is aggregated before the shuffle and joined
-back, where AQE splits a hot shingle's rows; a hot first document's partners are
-dealt over several cells, its segments copied to each.
+Hot keys: equal sets are combined before the shuffle; what is known of a hot
+shingle (its first document, its components) is aggregated before the shuffle and
+joined back, where AQE splits the shingle's rows; a hot first document's partners
+are dealt over several cells, its segments copied to each.
 
 Defined cases: null or empty text has the empty set and links with nothing; fewer
 words than a shingle form one shingle; repeated rows are equal sets; rows with
@@ -50,7 +50,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from featurescope.operators.components import connected_components
@@ -63,6 +63,7 @@ BINS = 1 << 20
 SLICES = 64
 FRAGMENTS = 4
 CELL = 1500
+HOT_SHARE, HOT_SAMPLE, MOST_HOT = 0.001, 20_000, 100_000
 _SHIFT = np.uint64(64 - 20)
 #: A table of ids has 8 bits for each, from 2^20 to 2^28 (32 MB) in all; more ids than the largest holds are joined instead.
 _LEAST_BITS, _MOST_BITS = 1 << 20, 1 << 28
@@ -324,15 +325,37 @@ def _prepared(docs: DataFrame, width: int) -> _Prepared:
     prefixes = every.where("not doubtful").unionByName(every.where("doubtful").join(classes.select("rep").hint("merge"), "rep", "left_semi")).drop("doubtful")
     tokens = prefixes.select("rep", "n", F.element_at("prefix", -1).alias("last"), F.posexplode("prefix").alias("pos", "token")).select("token", F.col("pos").cast("long").alias("pos"), "n", "rep", "last")
     tokens = tokens.where(F.col("n") - F.col("pos") >= F.ceil(0.8 * F.col("n") - 1e-9))
-    # the document of each shingle that has the fewest rarer shingles
-    firsts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("pos", "n", "rep")).alias("first")).where("many > 1").drop("many")
-    firsts = materialise(firsts, "jaccard-firsts")
-    tokens = materialise(tokens.join(firsts, "token"), "jaccard-tokens")
-    discard(every, firsts)
+    hot = materialise(_hot_tokens(every), "jaccard-hot")
+    tokens = materialise(_shared_tokens(tokens, hot), "jaccard-tokens")
+    discard(every, hot)
     lists = materialise(tokens.groupBy("rep").agg(F.collect_list("token").alias("tokens"), F.first("last").alias("last")), "jaccard-prefixes")  # at most a prefix each
     return _Prepared(docs, shared, own, classes, tokens, lists)
 
 
+def _hot_tokens(every: DataFrame) -> DataFrame:
+    """token: those in the prefixes of about ``HOT_SHARE`` of all documents or more, by a sample of documents; at most ``MOST_HOT``.
+
+    Both ways of ``_shared_tokens`` are exact, so a wrong guess costs time only.
+    """
+    part = min(1.0, HOT_SAMPLE / max(1, every.count()))
+    drawn = every.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < int(part * (1 << 20)) + 1).select(F.explode("prefix").alias("token"))
+    n = drawn.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_SHARE * HOT_SAMPLE)
+    return n.orderBy(F.desc("n"), "token").limit(MOST_HOT).select("token")
+
+
+def _shared_tokens(tokens: DataFrame, hot: DataFrame) -> DataFrame:
+    """The rows of tokens that several representatives hold, with ``first``: of these the one with the fewest rarer shingles.
+
+    A token's rows meet in one task, by one shuffle; a hot token's are aggregated before theirs and joined back, which AQE splits.
+    """
+    first = F.min(F.struct("pos", "n", "rep"))
+    by = Window.partitionBy("token")
+    cold = tokens.join(F.broadcast(hot), "token", "left_anti").withColumn("many", F.count(F.lit(1)).over(by)).withColumn("first", first.over(by)).where("many > 1").drop("many")
+    warm = tokens.join(F.broadcast(hot), "token", "left_semi")
+    heads = warm.groupBy("token").agg(F.count(F.lit(1)).alias("many"), first.alias("first")).where("many > 1").drop("many")
+    return cold.unionByName(warm.join(heads, "token"))
+
+
 def _met(x: DataFrame, y: DataFrame, more=None) -> DataFrame:
     """The pairs (a, na, b, nb), each once, that meet at some shingle and may link."""
     x, y = x.alias("x"), y.alias("y")
