@@ -348,13 +348,25 @@ def residual_size(spark, d):
     return rounded(T.residual_size(e, e.select("row_id").crossJoin(F.broadcast(mean))))  # one row of means
 
 
-@query()
-def topology_h0(spark, d):
+def _cloud(spark, d):
     import numpy as np
 
-    X = np.array([r.features for r in K.uniform_sample(embeddings(spark, d), T.MOST_ROWS, 1).collect()])  # the operator's own cap
-    s = T.persistence_summary(X)
-    return spark.createDataFrame([(s["h0_count"], round(s["h0_total"], 6), round(s["h0_entropy"], 6), s["h1_count"], round(s["h1_total"], 6), round(s["h1_longest"], 6), round(s["scale"], 6), round(s["strength"], 6))], "h0_count int, h0_total double, h0_entropy double, h1_count int, h1_total double, h1_longest double, scale double, strength double")
+    return np.array([r.features for r in K.uniform_sample(embeddings(spark, d), T.MOST_ROWS, 1).collect()])  # the operator's own cap
+
+
+PRIM = "recursive e as (select row_number() over (order by vec_id) - 1 i, embedding::double[] f from (select * from embeddings order by md5('1:' || vec_id), vec_id limit 2000)), d as (select a.i, list(list_distance(a.f, b.f) order by b.i) dist from e a, e b group by a.i), p as (select 0::bigint step, 0::bigint here, (select list(case when i > 0 then 1e308 end order by i) from e) best, null::double life union all select step + 1, k - 1, list_transform(near, lambda x, j: case when j <> k then x end), near[k] from (select step, near, case when m is not null then list_position(near, m) end k from (select step, near, list_min(near) m from (select step, list_transform(list_zip(best, dist), lambda z: case when z[1] is not null then least(z[1], z[2]) end) near from p join d on d.i = p.here))) where k is not null), l as (select life from p where life is not null)"
+
+
+@query(f"with {PRIM}, t as (select sum(life) t, median(life) m from l), r as (select max(f[c]) - min(f[c]) r from e, unnest(range(1, 65)) u(c) group by c) select count(case when life > m then 1 end)::int h0_count, round(any_value(t), 6) h0_total, round(-sum(case when life > 0 then life / t * ln(life / t) else 0 end), 6) h0_entropy, round((select avg(r) from r where r > 0), 6) as scale from l, t")
+def topology_h0(spark, d):
+    s = T.persistence_summary(_cloud(spark, d))
+    return spark.createDataFrame([(s["h0_count"], round(s["h0_total"], 6), round(s["h0_entropy"], 6), round(s["scale"], 6))], "h0_count int, h0_total double, h0_entropy double, scale double")
+
+
+@query()
+def topology_h1(spark, d):
+    s = T.persistence_summary(_cloud(spark, d))
+    return spark.createDataFrame([(s["h1_count"], s["h1_rows"], *(round(s[c], 6) for c in ("h1_total", "h1_longest", "h1_relative", "persistence_entropy", "strength")))], "h1_count int, h1_rows int, h1_total double, h1_longest double, h1_relative double, persistence_entropy double, strength double")
 
 
 # ---------------------------------------------------------------- probes and scores
