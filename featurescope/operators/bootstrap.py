@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from featurescope.runtime import discard, materialise
+
 from .cohort import ranked
 from .scoring import METRICS, scores
 
@@ -65,16 +67,15 @@ def compared(df: DataFrame, predictions: DataFrame, mode: str, repeats: int, see
         df, strata = df.withColumn("_s", F.col("y")[0].cast("int")), "_s"
     w = weights(df, repeats, seed, strata=strata, grouped=grouped)
     n = predictions.select("probe").distinct().count()
-    cache = complete(resampled_scores(predictions, w, mode), n, len(METRICS[mode])).cache()
-    try:
-        if cache.select("b").distinct().count() < max(LEAST, repeats // 2):
-            return None
-        s = scores(predictions, mode, "probe")
-        names = METRICS[mode]
-        points = s.select("probe", F.explode(F.map_from_arrays(F.array(*(F.lit(m) for m in names)), F.array(*(F.col(m) for m in names)))).alias("metric", "score"))
-        return [r.asDict() for r in paired_deltas(cache, points).collect()]  # pairs of probes x metrics
-    finally:
-        cache.unpersist()
+    cache = materialise(complete(resampled_scores(predictions, w, mode), n, len(METRICS[mode])), "resamples")
+    if cache.select("b").distinct().count() < max(LEAST, repeats // 2):
+        return None
+    s = scores(predictions, mode, "probe")
+    names = METRICS[mode]
+    points = s.select("probe", F.explode(F.map_from_arrays(F.array(*(F.lit(m) for m in names)), F.array(*(F.col(m) for m in names)))).alias("metric", "score"))
+    out = [r.asDict() for r in paired_deltas(cache, points).collect()]  # pairs of probes x metrics
+    discard(cache)
+    return out
 
 
 def lookup(pairs: list[dict] | None, first: str | None, second: str | None, metric: str) -> dict | None:

@@ -28,7 +28,7 @@ from featurescope.operators import probes as P
 from featurescope.operators import scoring as S
 from featurescope.operators import topology as T
 from featurescope.operators.bootstrap import compared
-from featurescope.runtime import materialise
+from featurescope.runtime import discard, materialise
 
 from .decision import Decision, decide
 from .recipes import probe_recipe
@@ -258,7 +258,7 @@ class Profiler:
         self.tables |= {"folds": folded.select("row_id", "fold"), "predictions": pred}
         scored = {r.probe: r.asDict() for r in S.scores(pred, mode, "probe").collect()}
         if mode == "singlelabel":
-            conf = S.confusion(pred, "probe").cache()
+            conf = materialise(S.confusion(pred, "probe"), "confusion")
             counts = {str(r.y): r.support for r in S.recalls(conf.where("probe = 'dummy'")).collect()}
             for r in S.recalls(conf, "probe").orderBy("probe", "y").collect():
                 scored[r.probe].setdefault("per_class_recall", []).append(r.recall)
@@ -266,7 +266,7 @@ class Profiler:
                 scored[r.probe].setdefault("confused_pairs", []).append([r.y, r.p, r.n])
             for p in scored.values():
                 p["class_counts"] = counts
-            conf.unpersist()
+            discard(conf)
         if mode == "multilabel":
             labels = S.label_scores(S.label_counts(pred, "probe"))
             for r in S.label_summary(labels, "probe").collect():
