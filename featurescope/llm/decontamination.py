@@ -9,8 +9,8 @@ around each.  Words are compared without case of A-Z and without marks at their
 ends.
 
 Documents are scanned in place, with no shuffle.  The items go to all workers in
-blocks of at most ``BLOCK_WORDS`` words; a larger benchmark takes several blocks,
-each over all documents.
+blocks of about ``BLOCK_WORDS`` words, ``PASS_BLOCKS`` of them in one scan of the
+documents (some 100 MB in a worker); a larger benchmark takes several scans.
 
 Defined cases: null or empty texts match nothing, on both sides; items of fewer
 than ``LEAST_WORDS`` words match only documents that consist of just these words;
@@ -36,6 +36,7 @@ from .common import mix, small_batches, sole, table, utf8
 RATE = 0.2
 LEAST_WORDS = 5
 BLOCK_WORDS = 400_000
+PASS_BLOCKS = 8
 _BITS = 1 << 20
 _MARKS = b".,;:!?\"'()[]{}*"
 _MUL = np.uint64(0xD6E8FEB86659FD93)
@@ -202,6 +203,18 @@ def item_blocks(benchmark: DataFrame, *, rate: float = RATE, block_words: int =
         yield Items([r.item_id for r in got], [core_words(r.text.encode()) for r in got], rate).build()
 
 
+def _passes(spark: SparkSession, benchmark: DataFrame, rate: float, block_words: int) -> Iterator[list]:
+    """Broadcast blocks, as many as one scan takes."""
+    held: list = []
+    for items in item_blocks(benchmark, rate=rate, block_words=block_words):
+        held.append(spark.sparkContext.broadcast(items))
+        if len(held) == PASS_BLOCKS:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
 _HITS = "doc_id long, item_id long, edits int, item_words int, start_word long, end_word long"
 
 
@@ -211,15 +224,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE, b
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = spark.createDataFrame([], _HITS)
-    for items in item_blocks(benchmark, rate=rate, block_words=block_words):
-        shared = spark.sparkContext.broadcast(items)
+    for blocks in _passes(spark, benchmark, rate, block_words):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = shared.value
+        def run(batches: Iterator[pa.RecordBatch], blocks=blocks) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                found = [(r, *x) for r, t in enumerate(utf8(b.column(1))) for x in own.matches(core_words(t))]
-                row, item, edits, start, end = zip(*found, strict=True) if found else ([],) * 5
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int32())), pa.array([own.ids[i] for i in item], pa.int64()), pa.array(edits, pa.int32()), pa.array([len(own.words[i]) for i in item], pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["doc_id", "item_id", "edits", "item_words", "start_word", "end_word"])
+                found = []
+                for r, t in enumerate(utf8(b.column(1))):
+                    words = core_words(t)
+                    found += [(r, own.value.ids[x[0]], x[1], len(own.value.words[x[0]]), *x[2:]) for own in blocks for x in own.value.matches(words)]
+                row, item, edits, size, start, end = zip(*found, strict=True) if found else ([],) * 6
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int32())), pa.array(item, pa.int64()), pa.array(edits, pa.int32()), pa.array(size, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["doc_id", "item_id", "edits", "item_words", "start_word", "end_word"])
 
         out = out.unionByName(rows.mapInArrow(run, _HITS))
     return out
@@ -231,13 +245,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE,
     small_batches(spark)
     at = docs.columns.index("text")
     schema = T.StructType(list(docs.schema.fields))
-    for items in item_blocks(benchmark, rate=rate, block_words=block_words):
-        shared = spark.sparkContext.broadcast(items)
+    for blocks in _passes(spark, benchmark, rate, block_words):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], blocks=blocks) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                clean = [not shared.value.matches(core_words(t)) for t in utf8(b.column(at))]
-                yield b.filter(pa.array(clean, pa.bool_()))
+                words = (core_words(t) for t in utf8(b.column(at)))
+                yield b.filter(pa.array([not any(own.value.matches(w) for own in blocks) for w in words], pa.bool_()))
 
         docs = docs.mapInArrow(run, schema)
     return docs
