@@ -109,8 +109,9 @@ _GENERATORS = {
     "phone": re.compile(r"(?<![\w])(?:\+|00)?\(?\d{1,4}\)?(?:[ ./-]{0,2}\(?\d{2,5}\)?){1,5}(?!\w)"),
     "secret": re.compile(r"(?<![\w+/=-])[A-Za-z0-9_+/-]{12,}+(?:\.[A-Za-z0-9_+/-]{12,}+)*+=*"),
 }
-#: What every match of a generator holds: a digit, a mark that stands for @, or the word "at" before a dotted word.
-_TRIGGER = re.compile(rf"[\d@]|\(at\)|\[at\]|\(a\)|\bat\b\s?[\w-]++{_DOT}[\w-]{{2}}", re.I)
+#: What every match of a generator holds: a digit, a mark that stands for @, or (in lower case) the word "at" before a dotted word.
+_MARK = re.compile(r"[\d@]")
+_AT_WORD = re.compile(rf"at\b(?<=\bat)\s?[\w-]++{_DOT}[\w-]{{2}}")
 _DIGIT = re.compile(r"[0-9]")
 _CUES = {
     "email": ("mail", "contact", "write", "@"),
@@ -127,11 +128,17 @@ def proposals(text: str) -> list[Span]:
     return [(kind, m.start(), m.end()) for kind, g in _GENERATORS.items() for m in g.finditer(text) if kind != "secret" or _DIGIT.search(text, *m.span())]
 
 
+def may_propose(text: str) -> bool:
+    """False only if no generator can match; literals first, because most texts hold nothing."""
+    if _MARK.search(text):
+        return True
+    low = text.lower()
+    return "(at)" in low or "[at]" in low or "(a)" in low or _AT_WORD.search(low) is not None
+
+
 def candidates(text: str | None) -> list[Span]:
     """What the generators propose; spans of different kinds may overlap."""
-    if not text or not _TRIGGER.search(text):
-        return []
-    return proposals(text)
+    return proposals(text) if text and may_propose(text) else []
 
 
 def features(text: str, span: Span) -> list[float]:
