@@ -38,3 +38,24 @@ def test_query(spark, con, name):
         a, b = rows(got), rows(want)
         assert len(a) == len(b)
         assert all(x == y or isinstance(x, float) and isinstance(y, float) and abs(x - y) <= 2e-5 for r, q in zip(a, b, strict=True) for x, y in zip(r, q, strict=True))
+
+
+@pytest.fixture(scope="module")
+def embedded(tmp_path_factory):
+    """A folder whose embeddings have the given ids, vectors and labels."""
+
+    def put(ids, vectors, labels):
+        d = tmp_path_factory.mktemp("embedded")
+        pd.DataFrame({"vec_id": ids, "embedding": vectors, "label": labels}).to_parquet(f"{d}/embeddings.parquet")
+        return str(d)
+
+    return put
+
+
+def test_whole_groups_larger_than_the_cap_give_no_rows(spark, embedded):
+    for each, n in ((400, 0), (130, 260), (13, 260)):  # rows of each of 20 groups, rows that fit into 260
+        ids = list(range(20 * each))
+        got = registry.QUERIES["whole_group_sample"](spark, embedded(ids, [[float(i), 1.0] for i in ids], [i // 20 % 3 for i in ids]))
+        assert got.columns == ["row_id", "group_id", "label"]
+        rows = got.groupBy("group_id").count().collect()
+        assert sum(r["count"] for r in rows) == n and {r["count"] for r in rows} <= {each}
