@@ -3,9 +3,11 @@
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
+from featurescope.operators import graph
 from featurescope.plans import registry
 
 DATA = os.environ.get("FEATURESCOPE_TESTDATA", "/root/testdata/sf0.001")
@@ -59,3 +61,34 @@ def test_whole_groups_larger_than_the_cap_give_no_rows(spark, embedded):
         assert got.columns == ["row_id", "group_id", "label"]
         rows = got.groupBy("group_id").count().collect()
         assert sum(r["count"] for r in rows) == n and {r["count"] for r in rows} <= {each}
+
+
+@pytest.mark.parametrize("grouped", [False, True])
+def test_wide_bootstrap_equals_one_task(spark, monkeypatch, grouped):
+    rng = np.random.default_rng(4)
+    X = np.vstack([rng.normal(size=(400, 3)), np.repeat(rng.normal(size=(6, 3)), 30, axis=0), rng.integers(0, 4, (120, 3)) + 9.0, 50 + rng.normal(size=(20, 3))])
+    ids = rng.permutation(len(X)) * 7 - 900
+    df = spark.createDataFrame([(int(i), int(i) % 90, [float(v) for v in x]) for i, x in zip(ids, X, strict=True)], "row_id long, group_id long, features array<double>").repartition(7)
+    want = {r.b: r.fragmentation for r in graph.fragmentation_bootstrap(df, 3, 2, grouped=grouped).collect()}
+    monkeypatch.setattr(graph, "ONE_TASK_ROWS", 100)
+    monkeypatch.setattr(graph, "DRAWS_AT_ONCE", 64)
+    got = {r.b: r.fragmentation for r in graph.fragmentation_bootstrap(df, 3, 2, grouped=grouped).collect()}
+    assert got.keys() == want.keys() == {0, 1, 2} and len(set(want.values())) == 3
+    assert all(abs(got[b] - want[b]) < 1e-9 for b in got)
+
+
+def test_bootstrap_links_every_draw_with_its_nearest(spark):
+    """Held against all pairs of draws; without equal distances, other than between draws of one row, there is one such graph."""
+    rng = np.random.default_rng(8)
+    X = np.vstack([c + rng.normal(size=(60, 2)) for c in (0, 40, 90)])
+    df = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(X)], "row_id long, features array<double>")
+    got = {r.b: r.fragmentation for r in graph.fragmentation_bootstrap(df, 3, 5, k=4).collect()}
+    for b in range(3):
+        at = np.random.default_rng([5, b]).integers(0, len(X), len(X))
+        d = np.sqrt(((X[at][:, None] - X[at][None]) ** 2).sum(2))
+        np.fill_diagonal(d, np.inf)
+        near = np.argsort(d, axis=1, kind="stable")[:, :4]
+        root = graph._roots(np.repeat(np.arange(len(at)), 4), near.ravel(), len(at))
+        p = np.unique(root, return_counts=True)[1] / len(at)
+        want = np.mean([1 - p.max(), min(1, len(p) / max(3, len(at) / 20)), -(p * np.log(p)).sum() / np.log(max(2, len(p)))])
+        assert len(p) > 2 and abs(got[b] - want) < 1e-9
