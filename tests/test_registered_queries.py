@@ -118,3 +118,23 @@ def test_neighbours_of_many_copies(spark, monkeypatch, cross, broadcast):
         want += [(int(i), at + 1, int(j), float(v)) for at, (v, j) in enumerate(sorted(ok)[:5])]
     assert got == sorted(want)
     assert met and met[0] < 120
+
+
+PART_QUERIES = ["hard_subset", "neighborhood_regression"]
+
+
+@pytest.mark.parametrize("name", PART_QUERIES)
+def test_parts_of_few_vectors(spark, monkeypatch, tmp_path, name):
+    """2000 parts of 194 vectors: the rows of the SQL, from at most so many rows that meet."""
+    rng = np.random.default_rng(6)
+    keys = rng.permutation(2000)
+    pd.DataFrame({"p_partkey": keys, "p_size": (1 + rng.integers(0, 2, 2000)).astype("int32"), "p_retailprice": np.round(rng.uniform(900, 2000, 2000), 2)}).to_parquet(f"{tmp_path}/part.parquet")
+    met = []
+    inner = neighbors.nearest_rows
+    monkeypatch.setattr(neighbors, "nearest_rows", lambda rows, *a, **b: inner(met.append(rows.count()) or rows, *a, **b))
+    a = rows(registry.QUERIES[name](spark, str(tmp_path)).toPandas())
+    c = duckdb.connect()
+    c.execute(f"create view part as select * from '{tmp_path}/part.parquet'")
+    b = rows(c.execute(registry.ORACLE_SQL[name]).df())
+    assert len(a) == len(b) and met == [194]
+    assert all(x == y or isinstance(x, float) and isinstance(y, float) and abs(x - y) <= 2e-5 for r, q in zip(a, b, strict=True) for x, y in zip(r, q, strict=True))
