@@ -120,7 +120,7 @@ def test_neighbours_of_many_copies(spark, monkeypatch, cross, broadcast):
     assert met and met[0] < 120
 
 
-PART_QUERIES = ["hard_subset", "neighborhood_regression", "score_per_target"]
+PART_QUERIES = ["hard_subset", "neighborhood_regression", "score_per_target", "score_regression"]
 
 
 @pytest.mark.parametrize("name", PART_QUERIES)
