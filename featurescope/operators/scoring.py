@@ -88,13 +88,16 @@ def target_scores(p: DataFrame, *by: str) -> DataFrame:
 
 
 def regression_scores(p: DataFrame, *by: str, weight: str | None = None) -> DataFrame:
-    """by, r2_variance_weighted, r2_uniform_average over usable targets, mean nrmse; moments are centred on the cohort's means."""
-    w = F.col(weight) if weight else F.lit(1.0)
-    keep = p.select(*by, "row_id", w.alias("w"), F.posexplode(F.arrays_zip("y", "prediction")).alias("i", "z"))
-    r = keep.select(*by, "w", "i", F.col("z.y").alias("y"), F.col("z.prediction").alias("q"))
-    m = p.select(F.posexplode("y").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"))  # one row per target
-    r = r.join(F.broadcast(m), "i").withColumn("c", F.col("y") - F.col("m"))
-    t = r.groupBy(*by, "i").agg(F.sum("w").alias("n"), F.sum(F.col("w") * (F.col("y") - F.col("q")) ** 2).alias("sse"), (F.sum(F.col("w") * F.col("c") ** 2) - F.sum(F.col("w") * F.col("c")) ** 2 / F.sum("w")).alias("sst"))
+    """by, r2_variance_weighted, r2_uniform_average over usable targets, mean nrmse; weighted moments are centred on the cohort's means, for which ``p`` is read once more."""
+    r = p.select(*by, *([weight] if weight else []), F.posexplode(F.arrays_zip("y", "prediction")).alias("i", "z")).select(*by, *([weight] if weight else []), "i", F.col("z.y").alias("y"), F.col("z.prediction").alias("q"))
+    error = (F.col("y") - F.col("q")) ** 2
+    if weight is None:
+        t = r.groupBy(*by, "i").agg(F.count(F.lit(1)).alias("n"), F.sum(error).alias("sse"), (F.var_pop("y") * F.count("y")).alias("sst"))
+    else:
+        w = F.col(weight)
+        m = p.select(F.posexplode("y").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"))  # one row per target
+        r = r.join(F.broadcast(m), "i").withColumn("c", F.col("y") - F.col("m"))
+        t = r.groupBy(*by, "i").agg(F.sum(w).alias("n"), F.sum(w * error).alias("sse"), (F.sum(w * F.col("c") ** 2) - F.sum(w * F.col("c")) ** 2 / F.sum(w)).alias("sst"))
     t = t.where((F.col("sst") / F.col("n") > USABLE) & (F.col("n") >= 2))
     return t.groupBy(*by).agg((1 - F.sum("sse") / F.sum("sst")).alias("r2_variance_weighted"), F.avg(1 - F.col("sse") / F.col("sst")).alias("r2_uniform_average"), F.avg(F.sqrt(F.col("sse") / F.col("sst"))).alias("nrmse"))
 

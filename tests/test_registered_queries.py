@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from featurescope.operators import graph, neighbors
+from featurescope.operators import graph, neighbors, scoring
 from featurescope.plans import registry
 
 DATA = os.environ.get("FEATURESCOPE_TESTDATA", "/root/testdata/sf0.001")
@@ -157,7 +157,7 @@ def test_neighbours_carry_values(spark, monkeypatch, kinds, cross, broadcast):
     assert all(r.own == v[r.row_id] and r.near == v[r.neighbor_id] for r in got)
 
 
-CARRIED = ["neighborhood_regression", "score_per_target"]
+CARRIED = ["neighborhood_regression", "score_per_target", "score_regression"]
 
 
 @pytest.mark.parametrize("name", CARRIED)
@@ -183,3 +183,19 @@ def test_standardised_targets(spark):
     want = {1: [-3 / s, 0.0, None], 2: [-2 / s, 0.0, 0.0], 4: [5 / s, 0.0]}
     assert got.keys() == want.keys()
     assert all(len(got[i]) == len(want[i]) and all(a is b is None or abs(a - b) < 1e-9 for a, b in zip(got[i], want[i], strict=True)) for i in want)
+
+
+def test_regression_scores_without_weights(spark):
+    """As with weights of one, and as numpy, on values far from zero with a constant target; the predictions are read once."""
+    rng = np.random.default_rng(9)
+    y = np.stack([1e6 + rng.normal(size=300), rng.normal(size=300), np.full(300, 4.0)], 1)
+    q = y + rng.normal(size=y.shape) / 2
+    df = spark.createDataFrame([(i, "a" if i % 3 else "b", 1.0, [float(v) for v in y[i]], [float(v) for v in q[i]]) for i in range(300)], "row_id long, probe string, w double, y array<double>, prediction array<double>")
+    got = scoring.regression_scores(df, "probe")
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    ones = {r.probe: r for r in scoring.regression_scores(df, "probe", weight="w").collect()}
+    for r in got.collect():
+        of = [i for i in range(300) if (i % 3 > 0) == (r.probe == "a")]
+        sse, sst = ((y[of] - q[of]) ** 2).sum(0)[:2], ((y[of] - y[of].mean(0)) ** 2).sum(0)[:2]
+        want = 1 - sse.sum() / sst.sum(), np.mean(1 - sse / sst), np.mean(np.sqrt(sse / sst))
+        assert np.allclose(r[1:], want, rtol=1e-6) and np.allclose(r[1:], ones[r.probe][1:], rtol=1e-6)
